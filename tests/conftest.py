@@ -12,7 +12,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).resolve().parent.
 def spark():
     from flowframe.session import get_spark
 
-    session = get_spark("local[4]", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    session = get_spark("local[3]", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
