@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 _LOCAL: dict[str, str] = {}
+BATCH_BYTES = 8 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -50,6 +52,13 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of whole texts small: a batch is held by the JVM and by a worker at once."""
+    number, unit = re.fullmatch(r"(\d+)([bkmgt]?)b?", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower()).groups()
+    if int(number) << 10 * "bkmgt".find(unit or "b") > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str | T.StructType,
               max_rows: int = 4096, max_bytes: int = 8 << 20) -> DataFrame:
     """A row-to-rows function over Arrow batches, with output batches bounded in rows and bytes.
@@ -57,6 +66,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
     ``make`` runs once a task and returns a function of one row's values (strings and binaries as
     Python objects) that yields output tuples.
     """
+    bound_batches(df.sparkSession)
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)
 

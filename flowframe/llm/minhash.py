@@ -38,24 +38,10 @@ LEADER_ROUNDS = 2
 BLOCK_SHINGLES = 300_000
 #: Texts of this many classes at most are picked out by a broadcast of their names, else by a join.
 BROADCAST_NAMES = 300_000
-CACHE_WORDS = 500_000
 #: Fixed odd factors that tell a shingle's places apart.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-class _WordHashes(dict):
-    """Word -> 64-bit hash; bounded, as it is emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -72,7 +58,7 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.int64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     if n < size:
         total = np.array([np.uint64(n)])
         for k in range(n):

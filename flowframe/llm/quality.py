@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowframe.llm.common import arrow_map, column_name, extended
+from flowframe.llm.common import arrow_map, bound_batches, column_name, extended
 
 #: Bytes of a passage; the last of a document may be shorter.
 PASSAGE_BYTES = 512
@@ -164,6 +164,7 @@ def score_quality(docs: DataFrame, model: AttentionModel | float, text_col: str
     column is an input. Columns of docs named as the two results are replaced. With a constant
     instead of a model every score is that constant.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     schema = extended(docs, score=T.DoubleType(), predicted=T.IntegerType())
     at = docs.columns.index(text_col)
