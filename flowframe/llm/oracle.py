@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from flowframe.llm.licenses import TEMPLATES
+
 ORACLE_SQL: dict[str, str] = {}
 
 ORACLE_SQL["op6_line_dedup"] = r"""
@@ -85,9 +87,11 @@ WITH RECURSIVE split AS (
   SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets
 ), shared AS (
   SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS common
-  FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
-), links AS (
+  FROM items a JOIN items b ON a.item = b.item AND a.doc_id < b.doc_id AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n GROUP BY a.doc_id, b.doc_id
+), half AS (
   SELECT x, y FROM shared WHERE 100 * common >= 75 * (nx + ny - common)
+), links AS (
+  SELECT x, y FROM half UNION ALL SELECT y, x FROM half
 ), reach(x, y) AS (
   SELECT doc_id, doc_id FROM sets UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
 ), least AS (
@@ -95,3 +99,32 @@ WITH RECURSIVE split AS (
 )
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON x = doc_id
 """
+
+ORACLE_SQL["op4_license_scan"] = r"""
+WITH docs AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), split AS (
+  SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, t FROM docs
+), phrases(terms, label) AS (
+  VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')
+), places AS (
+  SELECT doc_id, label, i AS start FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM split), phrases WHERE w[i + 1:i + len(terms)] = terms
+), based AS (
+  SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS base FROM places GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS held FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM split)
+), templates AS (
+  SELECT label, list_distinct(string_split(words, ' ')) AS own FROM (VALUES
+""" + ",\n".join(f"    ('{label}', '{words}')" for label, words in sorted(TEMPLATES.items())) + r"""
+  ) v(label, words)
+), met AS (
+  SELECT doc_id, label, len(list_intersect(own, held)) / len(own) AS containment FROM lines, templates WHERE 4 * len(list_intersect(own, held)) >= 3 * len(own)
+), blocks AS (
+  SELECT doc_id, list(DISTINCT label) AS more, max(containment) AS best FROM met GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM split s LEFT JOIN based b ON s.doc_id = b.doc_id LEFT JOIN blocks k ON s.doc_id = k.doc_id
+"""
