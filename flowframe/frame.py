@@ -84,14 +84,13 @@ class Frame:
 
     # sorting, distinct, sets
 
-    def sort(self, *keys: Expression, reverse: bool = False, nulls: str = "first", rank: str = "rank") -> Frame:
-        """Stable: rows with equal keys keep their order, in either direction. Adds no column; the new
-        order is by the keys, kept as columns of their own where they are expressions."""
-        named, order = {}, []
-        for k, key in enumerate(keys):
-            named[f"sort_key_{k}"] = _column(key)
-            order.append(f"sort_key_{k}")
-        return SortedFrame(self.df.withColumns(named), order, self.order, reverse, nulls)
+    def sort(self, *keys: Expression, reverse: bool = False, nulls: str = "first") -> SortedFrame:
+        """Stable: rows with equal keys keep their order, in either direction.
+
+        The keys become columns sort_key_0, sort_key_1, ...; ``rows`` gives the result without them.
+        """
+        named = {f"sort_key_{k}": _column(key) for k, key in enumerate(keys)}
+        return SortedFrame(self.df.withColumns(named), list(named), self.order, reverse, nulls)
 
     def distinct(self, *keys: str) -> Frame:
         """The first row of each key; without keys, of each whole row apart from the order."""
@@ -159,7 +158,9 @@ class Frame:
         sinks.to_file(self._ordered(), path, column, mode)
 
     def to_csv(self, path: str, headers: list[str] | None = None, **options) -> None:
-        sinks.to_csv(self._ordered(), path, headers or [c for c in self.df.columns if c not in self.order or dict(self.df.dtypes)[c].startswith(("struct",)) is False], **options)
+        """All columns but nested ones, without ``headers``; a reader's position column is nested."""
+        flat = [c for c, kind in self.df.dtypes if not kind.startswith(("struct", "array", "map"))]
+        sinks.to_csv(self._ordered(), path, headers or flat, **options)
 
     def to_jsonl(self, path: str) -> None:
         sinks.to_jsonl(self._ordered(), path)

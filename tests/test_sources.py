@@ -57,3 +57,10 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     f = readers.from_parquet(spark, str(tmp_path / "p"), ["id"]).filter("b > 50").map(b="b")
     plan = f.df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(b), GreaterThan(b,50)]" in plan and "ReadSchema: struct<id:bigint,b:bigint>" in plan
+
+
+def test_chained_pipeline_to_csv(spark, tmp_path):
+    rows = readers.from_iterable(spark, [("x", 1.0, 2), ("y", 5.0, 1), ("x", 2.0, 3)], "product string, price double, quantity int")
+    best = rows.filter("price > 0").with_columns(revenue=F.col("price") * F.col("quantity")).group_by("product").sum("revenue", "revenue")
+    best.sort("revenue", reverse=True).take(1).to_csv(str(tmp_path / "o"), ["product", "revenue"])
+    assert [(r.product, r.revenue) for r in readers.from_csv(spark, str(tmp_path / "o")).collect()] == [("x", "8.0")]
