@@ -1,7 +1,8 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with templates.
 
-All in DataFrame functions. A block (a line of a document) meets a template when it contains at
-least ``threshold`` of the template's distinct words. Words are ordered by their frequency in all
+All in DataFrame functions. Blocks are a document's lines, and windows of consecutive lines, as
+notices are often wrapped. A block meets a template when it contains at least ``threshold`` of the
+template's distinct words. Words are ordered by their frequency in all
 documents, rare ones first. A block that contains enough of a template must hold one of the words
 in the template's prefix (prefix filter), have enough words itself (length filter), and behind the
 first common word enough words must be left on both sides (positional filter). What passes is
@@ -39,6 +40,8 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 THRESHOLD = 0.75
+#: Lines in a window, and from one window's start to the next's.
+WINDOW_LINES, WINDOW_STEP = 8, 4
 #: What separates words once A-Z are in lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -69,10 +72,11 @@ def prepared(templates: dict[str, str], counts: dict[str, int], threshold: float
 
 
 def find_licenses(docs: DataFrame, text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds n_words, places (array<struct<start, label>>), blocks (array<struct<line, label, containment>>) to docs.
+    """Adds n_words, places (array<struct<start, label>>), blocks (array<struct<line, lines, label, containment>>) to docs.
 
-    places: where a phrase's words stand consecutively, by word number from 0. blocks: lines that
-    contain ``threshold`` and more of a template's distinct words, by line number from 0.
+    places: where a phrase's words stand consecutively, by word number from 0. blocks: lines, and
+    windows of WINDOW_LINES lines every WINDOW_STEP lines, that contain ``threshold`` and more of a
+    template's distinct words, by the number of the first line from 0 and the number of lines.
     Phrases and templates are of lower-case ASCII words; a broadcastable few. Null and empty texts
     have no words, places or blocks. Columns of docs named as the results are replaced.
     """
@@ -86,7 +90,7 @@ def find_licenses(docs: DataFrame, text_col: str = "text", phrases: dict[str, st
     places = no_places
     for phrase, label in phrases.items():
         places = F.concat(places, F.coalesce(_places(w, phrase.split(), label), no_places))
-    blocks = F.expr("cast(array() as array<struct<line:int,label:string,containment:double>>)")
+    blocks = F.expr("cast(array() as array<struct<line:int,lines:int,label:string,containment:double>>)")
     if templates:
         vocabulary = sorted({t for text_ in templates.values() for t in text_.split()})
         ready = prepared(templates, vocabulary_counts(docs, vocabulary, text_col), threshold)
@@ -115,12 +119,16 @@ def _may_hold(w: Column, ready: list) -> Column:
 
 
 def _blocks(text: Column, ready: list) -> Column:
-    """The set-similarity join of a document's lines with the templates, filters first."""
+    """The set-similarity join of a document's blocks with the templates, filters first."""
     table = F.array(*(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, own)).alias("own"), F.lit(need).alias("need"), F.array(*map(F.lit, own[:n])).alias("prefix")) for label, own, need, n in ready))
     least = min(need for _, _, need, _ in ready)
     prefix = F.array(*map(F.lit, sorted({t for _, own, _, n in ready for t in own[:n]})))
-    lines = F.transform(F.split(text, "\n", -1), lambda line, n: F.struct(n.alias("line"), F.array_distinct(words(line)).alias("w")))
-    lines = F.filter(lines, lambda b: (F.size(b["w"]) >= least) & F.arrays_overlap(b["w"], prefix))
+    split = F.split(text, "\n", -1)
+    single = F.transform(split, lambda line, n: F.struct(n.alias("line"), F.lit(1).alias("lines"), line.alias("text")))
+    starts = F.when(F.size(split) > 1, F.sequence(F.lit(0), F.size(split) - 1, F.lit(WINDOW_STEP))).otherwise(F.expr("cast(array() as array<int>)"))
+    wide = F.transform(starts, lambda i: F.struct(i.alias("line"), F.least(F.lit(WINDOW_LINES), F.size(split) - i).alias("lines"), F.array_join(F.slice(split, i + 1, WINDOW_LINES), "\n").alias("text")))
+    blocks = F.transform(F.concat(single, wide), lambda b: F.struct(b["line"].alias("line"), b["lines"].alias("lines"), F.array_distinct(words(b["text"])).alias("w")))
+    blocks = F.filter(blocks, lambda b: (F.size(b["w"]) >= least) & F.arrays_overlap(b["w"], prefix))
 
     def met(b):
         # positional filter: the place of the first prefix word that the block holds bounds what can still match
@@ -130,8 +138,8 @@ def _blocks(text: Column, ready: list) -> Column:
             return (F.size(b["w"]) >= t["need"]) & (first >= 0) & (F.size(t["own"]) - first >= t["need"])
 
         some = F.filter(table, passes)
-        counted = F.transform(some, lambda t: F.struct(b["line"].alias("line"), t["label"].alias("label"), (F.size(F.array_intersect(t["own"], b["w"])) / F.size(t["own"])).alias("containment"), t["need"].alias("need"), F.size(t["own"]).alias("size")))
+        counted = F.transform(some, lambda t: F.struct(b["line"].alias("line"), b["lines"].alias("lines"), t["label"].alias("label"), (F.size(F.array_intersect(t["own"], b["w"])) / F.size(t["own"])).alias("containment"), t["need"].alias("need"), F.size(t["own"]).alias("size")))
         enough = F.filter(counted, lambda c: F.round(c["containment"] * c["size"]) >= c["need"])
-        return F.transform(enough, lambda c: F.struct(c["line"], c["label"], c["containment"]))
+        return F.transform(enough, lambda c: F.struct(c["line"].alias("line"), c["lines"].alias("lines"), c["label"].alias("label"), c["containment"].alias("containment")))
 
-    return F.flatten(F.transform(lines, met))
+    return F.flatten(F.transform(blocks, met))

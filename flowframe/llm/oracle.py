@@ -111,8 +111,12 @@ WITH docs AS (
   SELECT doc_id, label, i AS start FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM split), phrases WHERE w[i + 1:i + len(terms)] = terms
 ), based AS (
   SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS base FROM places GROUP BY doc_id
+), cut AS (
+  SELECT doc_id, string_split(t, chr(10)) AS ls FROM split
 ), lines AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS held FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM split)
+  SELECT doc_id, list_distinct(regexp_extract_all(block, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS held FROM (
+    SELECT doc_id, unnest(ls) AS block FROM cut UNION ALL
+    SELECT doc_id, array_to_string(ls[i + 1:i + 8], chr(10)) FROM (SELECT doc_id, ls, unnest(range(0, len(ls), 4)) AS i FROM cut WHERE len(ls) > 1))
 ), templates AS (
   SELECT label, list_distinct(string_split(words, ' ')) AS own FROM (VALUES
 """ + ",\n".join(f"    ('{label}', '{words}')" for label, words in sorted(TEMPLATES.items())) + r"""

@@ -61,15 +61,17 @@ def test_license_blocks_against_brute_force(spark, corpus):
     want = Counter()
     for k, t in rows:
         blocks = []
-        for n, line in enumerate((t or "").split("\n")):
-            held = set(plain.words(line))
+        lines = (t or "").split("\n")
+        spans = [(n, 1) for n in range(len(lines))] + [(n, min(8, len(lines) - n)) for n in range(0, len(lines), 4) if len(lines) > 1]
+        for n, size in spans:
+            held = set(plain.words("\n".join(lines[n:n + size])))
             for label, text in licenses.TEMPLATES.items():
                 own = set(text.split())
                 if len(own & held) >= 0.75 * len(own):
-                    blocks.append((n, label, round(len(own & held) / len(own), 6)))
+                    blocks.append((n, size, label, round(len(own & held) / len(own), 6)))
         want[(k, tuple(sorted(blocks)))] += 1
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = Counter((r.doc_id, tuple(sorted((b.line, b.label, round(b.containment, 6)) for b in r.blocks))) for r in licenses.find_licenses(df).collect())
+    got = Counter((r.doc_id, tuple(sorted((b.line, b.lines, b.label, round(b.containment, 6)) for b in r.blocks))) for r in licenses.find_licenses(df).collect())
     assert got == want
 
 
