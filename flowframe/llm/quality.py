@@ -1,7 +1,7 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages, all of them encoded. A passage's features are the shares of its
-byte classes and of pairs of neighbouring classes. A gated attention layer, learned from labels
+byte classes and of pairs of neighbouring classes, and how often its words repeat. A gated attention layer, learned from labels
 of documents alone, weighs the passages; the weighted mean representation is scored.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,7 +39,7 @@ def _classes() -> np.ndarray:
 
 
 CLASS_OF = _classes()
-FEATURES = CLASSES * (CLASSES + 1) + 1
+FEATURES = CLASSES * (CLASSES + 1) + 3
 
 
 def passages(text: bytes) -> np.ndarray:
@@ -51,8 +52,16 @@ def passages(text: bytes) -> np.ndarray:
     pair = (own[1:] * CLASSES + data[:-1]) * CLASSES + data[1:]
     double = np.bincount(pair[inside], minlength=n * CLASSES * CLASSES).reshape(n, -1)
     size = np.maximum(1, single.sum(1, keepdims=True))
+    repeats = np.array([_repeats(text[k * PASSAGE_BYTES:(k + 1) * PASSAGE_BYTES]) for k in range(n)])
     # roots of the shares: rare classes weigh more
-    return np.concatenate([np.sqrt(single / size), np.sqrt(double / size), np.log1p(size) / np.log1p(PASSAGE_BYTES)], 1).astype(np.float32)
+    return np.concatenate([np.sqrt(single / size), np.sqrt(double / size), np.log1p(size) / np.log1p(PASSAGE_BYTES), repeats], 1).astype(np.float32)
+
+
+def _repeats(passage: bytes) -> tuple[float, float]:
+    """The shares of words that the passage has had before, and of those that equal the word before them."""
+    words = passage.split()
+    n = max(1, len(words))
+    return 1 - len(set(words)) / n if words else 0.0, sum(map(eq, words, words[1:])) / n
 
 
 @dataclass
