@@ -73,17 +73,17 @@ def period(units: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
 
 
 def numbered(docs: DataFrame, source: str, id_col: str, place: str) -> DataFrame:
-    """Adds ``place``: the row's number in its source, from 0, in an order made by hashing the id.
+    """Adds ``place``: the row's number in its source, from 0, in the order of the ids' MD5 digests.
 
-    Rows are dealt over buckets of a source, ranked inside them, and shifted by the counts of the
-    buckets before: no source meets in one task, however large.
+    Rows are dealt over buckets of a source by ranges of the digest, ranked inside them, and shifted
+    by the counts of the buckets before: no source meets in one task, however large.
     """
     bucket, mixed, n, shift, label = (column_name(docs, c) for c in ("bucket", "mixed", "n_in_bucket", "shift", "source_label"))
-    key = F.xxhash64(F.col(id_col).cast("string"), F.col(source))
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     buckets = max(LEAST_BUCKETS, -(-docs.count() // BUCKET_ROWS))
     # a key without nulls, so that the join below finds its rows where the window left them
     named = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("null"))
-    rows = docs.withColumn(mixed, key).withColumn(bucket, F.pmod(mixed, F.lit(buckets))).withColumn(label, named)
+    rows = docs.withColumn(mixed, key).withColumn(bucket, F.floor(F.conv(F.substring(mixed, 1, 8), 16, 10).cast("bigint") * buckets / (1 << 32))).withColumn(label, named)
     counts = rows.groupBy(label, bucket).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(label).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(label, bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(shift))
