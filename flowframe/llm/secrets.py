@@ -19,12 +19,12 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_VALUE_CHARS = 8
 ACCESS = "AKIA[A-Z0-9]+"
 ACCESS_CHARS = 16
-HEX = "[0-9a-f]+"
+HEX = "[0-9a-f]"
 HEX_CHARS = 32
 KINDS = ("assign", "access", "hex", "random")
 
-#: A run of token characters; candidates of the Markov models have so many characters, a digit and a letter.
-TOKEN = "[A-Za-z0-9+/_=-]+"
+#: Token characters; candidates of the Markov models are runs of so many of them, with a digit and a letter.
+TOKEN = "[A-Za-z0-9+/_=-]"
 TOKEN_CHARS = 20
 #: Mean log-likelihood ratio (nats a character pair) from which a token counts as random.
 THRESHOLD = 0.35
@@ -126,8 +126,9 @@ def find_secrets(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", t
         return F.when(F.col(part).isNull(), none).otherwise(F.aggregate(both, begin, step)["out"])
 
     parts = [column_name(docs, f"secret_part{k}") for k in range(4)]
-    tests = (t.rlike("(?i:passw|secret|token|api_?key)"), t.contains("AKIA"), t.rlike("[0-9a-f]{%d}" % HEX_CHARS), t.rlike("[A-Za-z0-9+/_=-]{%d}" % token_chars))
-    patterns = (ASSIGN, ACCESS, "[0-9a-f]{%d,}" % HEX_CHARS, "[A-Za-z0-9+/_=-]{%d,}" % token_chars)
+    tests = (t.rlike("(?i:passw|secret|token|api_?key)"), t.contains("AKIA"), t.rlike(f"{HEX}{{{HEX_CHARS}}}"), t.rlike(f"{TOKEN}{{{token_chars}}}"))
+    # greedy runs of the last two kinds are whole runs, so the length can stand in the pattern
+    patterns = (ASSIGN, ACCESS, f"{HEX}{{{HEX_CHARS},}}", f"{TOKEN}{{{token_chars},}}")
     for part, pattern, test in zip(parts, patterns, tests):
         rows = rows.withColumn(part, pieces(pattern, test))
     value = lambda m: F.regexp_extract(m["value"], ASSIGN, 2)
