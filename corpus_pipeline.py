@@ -65,5 +65,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"), "zstd")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 _LOCAL: dict[str, str] = {}
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -33,14 +34,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "uncompressed") -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 
     It cuts lineage as checkpoint() does, and survives lost executors. The path is in ``df.path``.
+    Most tables here hold hashes, which do not compress; codecs would only take up native buffers.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.path = path
     return out
@@ -59,8 +61,19 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def return_freed_memory() -> None:
+    """Lets a worker give the memory of freed batches back to the system, so that it is small while it waits.
+
+    Arrow's own pool keeps freed pages; glibc does too unless large blocks are mapped on their own.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    tune = getattr(ctypes.CDLL(None), "mallopt", None)
+    if tune:
+        tune(-3, 256 << 10)  # M_MMAP_THRESHOLD
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str | T.StructType,
-              max_rows: int = 4096, max_bytes: int = 8 << 20) -> DataFrame:
+              max_rows: int = 2048, max_bytes: int = 4 << 20) -> DataFrame:
     """A row-to-rows function over Arrow batches, with output batches bounded in rows and bytes.
 
     ``make`` runs once a task and returns a function of one row's values (strings and binaries as
@@ -71,6 +84,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_freed_memory()
         fn = make()
         rows, size = [], 0
 

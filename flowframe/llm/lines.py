@@ -285,7 +285,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line's key is the line without ASCII white space at its ends, A-Z in lower case. Keys of
     ``min_chars`` code points and more that ``min_docs`` documents or more hold lose all their
     lines but those in the largest id that holds them. Null and empty texts are one empty line
-    and become empty texts. Rows that share an id are one document. Rows with a null id are
+    and become empty texts. Ids are integers; rows that share one are one document. Rows with a null id are
     counted nowhere and lose every line whose key has reached the count. An index that already
     holds documents may be given; docs are then measured against it and not inserted. Columns
     named as the two results are replaced.

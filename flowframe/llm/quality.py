@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowframe.llm.common import arrow_map, bound_batches, column_name, extended
+from flowframe.llm.common import arrow_map, bound_batches, column_name, extended, return_freed_memory
 
 #: Bytes of a passage; the last of a document may be shorter.
 PASSAGE_BYTES = 512
@@ -181,6 +181,7 @@ def score_quality(docs: DataFrame, model: AttentionModel | float, text_col: str
     def run(batches):
         import pyarrow as pa
 
+        return_freed_memory()
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
