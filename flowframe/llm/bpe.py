@@ -24,7 +24,7 @@ OVERLAP_CHARS = 1 << 10
 #: How far past a match's start the pattern may have to look before the match is certain.
 LOOK_AHEAD = 3
 #: Pre-tokens a worker remembers; a full memory is emptied, so it stays bounded.
-CACHE_TOKENS = 200_000
+CACHE_TOKENS = 60_000
 _ENGINES: dict = {}
 
 
@@ -113,10 +113,11 @@ def stitch(pattern: regex.Pattern, text: str, starts: list[int], ends: list[list
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None,
-           pattern: str | None = None, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+           pattern: str | None = None, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, decoded: bool = False) -> DataFrame:
     """(id, n_tokens long, ids binary): a text's ids as little-endian unsigned 32-bit integers.
 
-    One row for each input row. Null and empty texts have no ids. Null and repeated ids stay as
+    With ``decoded`` the ids are decoded in the same pass, as decode() does, into a binary column
+    of that name. One row for each input row. Null and empty texts have no ids. Null and repeated ids stay as
     they are; other columns are not read, whatever their names. Texts up to ``chunk`` code points
     are encoded where they lie, without a shuffle. Chunks of longer ones are dealt over all tasks
     to be pre-tokenised and meet again in their document's group, which is as large as that one
@@ -124,14 +125,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
-    out = f"id {kind}, n_tokens bigint, ids binary"
+    out = f"id {kind}, n_tokens bigint, ids binary" + ", decoded binary" * decoded
 
     def whole():
         engine = Engine.get(ranks_path, pattern)
 
         def run(key, text):
             ids = engine.encode_pieces(engine.pattern.findall(text))
-            yield key, len(ids) // 4, ids
+            yield (key, len(ids) // 4, ids, engine.decode(ids)) if decoded else (key, len(ids) // 4, ids)
 
         return run
 
@@ -162,7 +163,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
         text = "".join(r[2] for r in once)
         ends = stitch(engine.pattern, text, [r[1] for r in once], [r[3] for r in once])
         ids = engine.encode_pieces([text[a:b] for a, b in zip([0, *ends], ends)])
-        return pa.table({"id": pa.array([rows[0][4]] * copies, table.schema.field("id").type), "n_tokens": pa.array([len(ids) // 4] * copies, pa.int64()), "ids": pa.array([ids] * copies, pa.binary())})
+        columns = {"id": pa.array([rows[0][4]] * copies, table.schema.field("id").type), "n_tokens": pa.array([len(ids) // 4] * copies, pa.int64()), "ids": pa.array([ids] * copies, pa.binary())}
+        if decoded:
+            columns["decoded"] = pa.array([engine.decode(ids)] * copies, pa.binary())
+        return pa.table(columns)
 
     short = arrow_map(base.where(F.length("text") <= chunk), whole, out)
     # a name by content: rows that are alike share a group and are counted there

@@ -119,6 +119,7 @@ def test_tokens_against_the_library(docs, corpus, library, chunk, overlap):
         docs, corpus = docs.where("length(text) < 3000 or text is null"), [(k, t) for k, t in corpus if len(t or "") < 3000]
     rows = bpe.decode(bpe.encode(docs, chunk=chunk, overlap=overlap)).collect()
     got = Counter((r.doc_id, r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in rows)
+    assert Counter(bpe.encode(docs, chunk=chunk, overlap=overlap, decoded=True).collect()) == Counter(rows)
     want = Counter()
     for k, t in corpus:
         ids = library.encode_ordinary(t or "")
