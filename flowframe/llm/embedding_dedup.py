@@ -26,8 +26,8 @@ DIRECTIONS = 48
 WINDOW = 1.7
 MISS = 1e-9
 SEED = 20
-#: Classes in a block, at least and at most; in between the number of blocks stays at about 64.
-LEAST_BLOCK, MOST_BLOCK = 1024, 8192
+#: Classes in a block, at least and at most; in between the number of blocks stays at about 16.
+LEAST_BLOCK, MOST_BLOCK = 2048, 8192
 QUERY_ROWS = 256
 STEP = 32
 
@@ -171,7 +171,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 def _links(classes: DataFrame, threshold: float, least: int) -> DataFrame:
     """(node, root, links): in each pair of blocks, a node's links and the least node of its component there."""
     n = classes.count()
-    size = min(MOST_BLOCK, max(LEAST_BLOCK, n // 64))
+    size = min(MOST_BLOCK, max(LEAST_BLOCK, n // 16))
     blocks = max(1, -(-n // size))
     reach = sqrt(2 - 2 * threshold)
     if blocks > 1:
@@ -193,13 +193,16 @@ def _links(classes: DataFrame, threshold: float, least: int) -> DataFrame:
     def within(key, table):
         i, j = (k.as_py() for k in key)
         nodes, copies, block = (table.column(c).to_numpy() for c in ("node", "copies", "block"))
-        units = table.column("unit").to_pylist()
-        lengths = np.array([len(u) for u in units])
+        units = table.column("unit").combine_chunks()
+        _, offsets, data = units.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[units.offset:units.offset + len(units) + 1]
+        lengths = np.diff(offsets)
+        data = np.frombuffer(data, np.uint8)
         out: dict[str, list] = {"node": [], "root": [], "links": []}
         for length in np.unique(lengths):
             here = np.flatnonzero(lengths == length)
             here = here[np.argsort(nodes[here])]  # the order in a group may differ from run to run
-            own = np.frombuffer(b"".join(units[k] for k in here), np.float64).reshape(len(here), -1)
+            own = data[offsets[here][:, None] + np.arange(length)].view(np.float64)
             a = np.flatnonzero(block[here] == i)
             b = np.flatnonzero(block[here] == j)
             if not len(a) or not len(b):
