@@ -1,8 +1,8 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with templates.
 
-All in DataFrame functions. Blocks are a document's lines, and windows of consecutive lines, as
-notices are often wrapped. A block meets a template when it contains at least ``threshold`` of the
-template's distinct words. Words are ordered by their frequency in all
+All in DataFrame functions. Blocks are a document's lines and windows of consecutive lines, as
+notices are often wrapped, or all ranges of consecutive lines. A block meets a template when it
+contains at least ``threshold`` of the template's distinct words. Words are ordered by their frequency in all
 documents, rare ones first. A block that contains enough of a template must hold one of the words
 in the template's prefix (prefix filter), have enough words itself (length filter), and behind the
 first common word enough words must be left on both sides (positional filter). What passes is
@@ -71,12 +71,15 @@ def prepared(templates: dict[str, str], counts: dict[str, int], threshold: float
     return out
 
 
-def find_licenses(docs: DataFrame, text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def find_licenses(docs: DataFrame, text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, all_ranges: bool = False) -> DataFrame:
     """Adds n_words, places (array<struct<start, label>>), blocks (array<struct<line, lines, label, containment>>) to docs.
 
     places: where a phrase's words stand consecutively, by word number from 0. blocks: lines, and
     windows of WINDOW_LINES lines every WINDOW_STEP lines, that contain ``threshold`` and more of a
     template's distinct words, by the number of the first line from 0 and the number of lines.
+    With ``all_ranges`` every range of consecutive lines is a block, of whatever length; listed are
+    those that no smaller range inside them equals in a template's words. So a range meets a
+    template just when a listed one lies in it, and one that lies in it has the same containment.
     Phrases and templates are of lower-case ASCII words; a broadcastable few. Null and empty texts
     have no words, places or blocks. Columns of docs named as the results are replaced.
     """
@@ -94,7 +97,8 @@ def find_licenses(docs: DataFrame, text_col: str = "text", phrases: dict[str, st
     if templates:
         vocabulary = sorted({t for text_ in templates.values() for t in text_.split()})
         ready = prepared(templates, vocabulary_counts(docs, vocabulary, text_col), threshold)
-        blocks = F.when(_may_hold(w, ready), _blocks(F.col(text), ready)).otherwise(blocks)
+        found = _ranges(F.col(text), w, vocabulary, ready) if all_ranges else _blocks(F.col(text), ready)
+        blocks = F.when(_may_hold(w, ready), found).otherwise(blocks)
     return rows.select(*docs.columns, F.size(w).cast("bigint").alias("n_words"), F.array_sort(places).alias("places"), blocks.alias("blocks"))
 
 
@@ -143,3 +147,33 @@ def _blocks(text: Column, ready: list) -> Column:
         return F.transform(enough, lambda c: F.struct(c["line"].alias("line"), c["lines"].alias("lines"), c["label"].alias("label"), c["containment"].alias("containment")))
 
     return F.flatten(F.transform(blocks, met))
+
+
+def _ranges(text: Column, w: Column, vocabulary: list[str], ready: list) -> Column:
+    """The join of all line ranges with the templates. No range holds more than the document, so that is counted first."""
+    table = F.array(*(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, own)).alias("own"), F.lit(need).alias("need")) for label, own, need, _ in ready))
+    held = F.array_intersect(F.array(*map(F.lit, vocabulary)), w)
+    some = F.flatten(F.transform(F.array(held), lambda h: F.filter(table, lambda t: F.size(F.array_intersect(t["own"], h)) >= t["need"])))
+    none = F.expr("cast(array() as array<array<struct<line:int,lines:int,label:string,containment:double>>>)")
+
+    def met(t):
+        lines = F.transform(F.split(text, "\n", -1), lambda line, n: F.struct(n.alias("line"), F.array_intersect(t["own"], words(line)).alias("w")))
+        hits = F.filter(lines, lambda x: F.size(x["w"]) > 0)
+
+        def step(acc, x):
+            # where each word stood last before this line, and with it
+            last = F.transform(acc["last"], lambda at, k: F.when(F.array_contains(x["w"], t["own"][k]), x["line"]).otherwise(at))
+            before = F.array_min(F.filter(acc["last"], lambda at, k: F.array_contains(x["w"], t["own"][k])))
+            return F.transform(F.array(F.struct(last.alias("last"), before.alias("before"))), lambda v: F.struct(v["last"].alias("last"), F.concat(acc["out"], F.array(ending(v, x))).alias("out")))[0]
+
+        def ending(v, x):
+            # from a word's last line on, where this line adds a word: its first and last line are both needed
+            starts = F.filter(F.array_distinct(v["last"]), lambda at: at > v["before"])
+            counted = F.transform(starts, lambda at: F.struct(at.alias("line"), F.size(F.filter(v["last"], lambda y: y >= at)).alias("n")))
+            enough = F.filter(counted, lambda c: c["n"] >= t["need"])
+            return F.transform(enough, lambda c: F.struct(c["line"].alias("line"), (x["line"] - c["line"] + 1).alias("lines"), t["label"].alias("label"), (c["n"] / F.size(t["own"])).alias("containment")))
+
+        begin = F.struct(F.transform(t["own"], lambda _: F.lit(-1)).alias("last"), none.alias("out"))
+        return F.flatten(F.aggregate(hits, begin, step)["out"])
+
+    return F.flatten(F.transform(some, met))

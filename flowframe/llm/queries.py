@@ -33,7 +33,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), all_ranges=True)
     base = F.array_sort(F.array_distinct("places.label"))
     score = F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("blocks.containment"), F.lit(0.0)))
     return found.select("doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"),

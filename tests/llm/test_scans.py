@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowframe.llm import licenses, secrets
+from flowframe.llm.queries import QUERIES
 
 from . import plain
 
@@ -75,6 +76,38 @@ def test_license_blocks_against_brute_force(spark, corpus):
     assert got == want
 
 
+def spread(own, lines, gap=0):
+    """The words over so many lines, and so many blank lines between them."""
+    return ("\n" * (gap + 1)).join(" ".join(own[i * len(own) // lines:(i + 1) * len(own) // lines]) for i in range(lines))
+
+
+def test_license_ranges_against_brute_force(spark):
+    own = licenses.TEMPLATES["bsd"].split()
+    texts = [spread(own, 6), "a\nb\nc\n" + spread(own[:16], 6), spread(own, 10), spread(own, 17), spread(own, 5, 6), spread(own, 3, 9) + "\nx\n" + spread(own[::-1], 4),
+             "\n".join(own[:11]) + "\n" + " ".join(own), spread(own[:14], 14), "\n".join(licenses.TEMPLATES["cc0"].split() * 2), "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: sorted((b.line, b.lines, b.label, round(b.containment, 6)) for b in r.blocks) for r in licenses.find_licenses(df, all_ranges=True).collect()}
+    for k, t in enumerate(texts):
+        lines = [set(plain.words(x)) for x in (t or "").split("\n")]
+        want = []
+        for label, text in licenses.TEMPLATES.items():
+            own_ = set(text.split())
+            held = lambda i, j: len(own_ & set().union(*lines[i:j]))  # noqa: B023, E731
+            want += [(i, j - i, label, round(held(i, j) / len(own_), 6)) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1)
+                     if 4 * held(i, j) >= 3 * len(own_) and held(i + 1, j) < held(i, j) > held(i, j - 1)]
+        assert got[k] == sorted(want)
+    assert all(got[k] for k in range(7)) and not got[7]
+
+
+def test_license_query_finds_notices_over_many_lines(spark, tmp_path):
+    own = licenses.TEMPLATES["bsd"].split()
+    texts = [spread(own, 17), spread(own, 10), "a\nb\nc\n" + spread(own[:16], 6), spread(own[:14], 14)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: (r.labels, r.score) for r in QUERIES["op4_license_scan"](spark, str(tmp_path)).collect()}
+    size = len(set(own))
+    assert rows == {0: ("bsd", 1.0), 1: ("bsd", 1.0), 2: ("bsd", len(set(own[:16])) / size), 3: ("", 0.0)}
+
+
 def test_license_scan_of_nothing_and_without_templates(no_docs, docs):
     assert licenses.find_licenses(no_docs).collect() == []
     out = licenses.find_licenses(docs, phrases={}, templates={})
