@@ -1,25 +1,35 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
-
-A source's documents form blocks. With weights a_i / Q in lowest units (sum of a_i = Q), block j
-of source i is released in slot floor(j * Q / a_i) and due before slot ceil((j + 1) * Q / a_i);
-each slot takes the released block with the earliest deadline. Then in any prefix of the
-schedule every source is within one block of its weight. After Q slots each source has had
-exactly a_i blocks, so the schedule repeats: one period of Q slots is worked out, and block j
-of source i stands in slot (j div a_i) * Q + (slot of its block j mod a_i in the period). That
-needs no pass over the rows in order.
+"""Mixing sources to target weights by Pfair scheduling.
+
+A source's documents form blocks. With weights a_i / Q (sum of a_i = Q), block j of source i is
+released in slot floor(j * Q / a_i) and due before slot ceil((j + 1) * Q / a_i); each slot takes
+the released block with the earliest deadline. Then in any prefix of the schedule every source is
+within one block of its weight. The weights are taken as they are, as ratios of integers, so
+deviations do not add up however long the schedule is.
+
+The schedule needs the sources' weights and row counts only: the driver makes it, a block at a
+time with two heaps, and keeps 12 bytes a block. Rows are numbered and placed in DataFrame
+operations. ``quantised`` and ``period`` are for weights of a fixed resolution, whose schedule repeats.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+from array import array
+from functools import reduce
+from math import gcd, inf
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from flowframe.llm.common import column_name
+from flowframe.llm.common import column_name, materialize
 
-#: Slots in a period: weights are multiples of 1 / RESOLUTION.
+#: Slots in a period where weights are made multiples of 1 / RESOLUTION.
 RESOLUTION = 1000
+#: Blocks of the schedule that the driver hands over at once; a longer one goes to the shared folder in parts.
+PLAN_BLOCKS = 1 << 20
 BLOCK_ROWS = 8
 #: Rows that one bucket of a source has on average when documents are numbered.
 BUCKET_ROWS = 20_000
@@ -72,6 +82,67 @@ def period(units: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
     return listed.select(F.explode(F.aggregate(slots, start, step)["out"]).alias("x")).select("x.*")
 
 
+def integers(weights: list[float]) -> list[int]:
+    """Integers in exactly the ratios of the weights, which are positive and finite."""
+    ratios = [w.as_integer_ratio() for w in weights]
+    common = max((d for _, d in ratios), default=1)  # powers of two
+    out = [n * (common // d) for n, d in ratios]
+    least = gcd(*out) or 1
+    return [x // least for x in out]
+
+
+def schedule(shares: list[int], rows: list[int], block_rows: int) -> tuple[array, array, int]:
+    """(source, block) of each slot, and the first slot for which a source has no full block left.
+
+    Earliest deadline first, ties to the smaller place in the list. From that slot on the blocks
+    that are left follow by deadline, without gaps.
+    """
+    owner, block, done, q = array("i"), array("q"), [0] * len(shares), sum(shares)
+    due = lambda i: (-(-(done[i] + 1) * q // shares[i]), i)
+    waiting, ready, end = [(0, i) for i in range(len(shares))], [], 0
+
+    def take(i):
+        owner.append(i)
+        block.append(done[i])
+        done[i] += 1
+
+    while shares:
+        while waiting and waiting[0][0] <= end:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, due(i))
+        i = ready[0][1]  # there is one: by slot t all sources together have more than t blocks released
+        if done[i] == rows[i] // block_rows:
+            break
+        heapq.heappop(ready)
+        take(i)
+        heapq.heappush(waiting, (done[i] * q // shares[i], i))
+        end += 1
+    left = lambda i: done[i] * block_rows < rows[i]
+    rest = [due(i) for i in range(len(shares)) if left(i)]
+    heapq.heapify(rest)
+    while rest:
+        i = rest[0][1]
+        take(i)
+        if left(i):
+            heapq.heapreplace(rest, due(i))
+        else:
+            heapq.heappop(rest)
+    return owner, block, end
+
+
+def plan_table(spark: SparkSession, names: list[str | None], owner: array, block: array, columns: tuple[str, str, str]) -> DataFrame:
+    """(source, block, slot) as a table."""
+    source, number, slot = columns
+    kind = T.StructType([T.StructField(source, T.StringType()), T.StructField(number, T.LongType()), T.StructField(slot, T.LongType())])
+    spelt, parts = pa.array(names, pa.string()), []
+    for at in range(0, len(owner), PLAN_BLOCKS):
+        some = pa.array(owner[at:at + PLAN_BLOCKS], pa.int32())
+        parts.append(spark.createDataFrame(pa.table({source: spelt.take(some), number: pa.array(block[at:at + PLAN_BLOCKS], pa.int64()), slot: pa.array(range(at, at + len(some)), pa.int64())}), kind))
+        if len(owner) > PLAN_BLOCKS:
+            parts[-1] = materialize(parts[-1], "mixing-plan")
+    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], kind)
+
+
 def numbered(docs: DataFrame, source: str, id_col: str, place: str) -> DataFrame:
     """Adds ``place``: the row's number in its source, from 0, in the order of the ids' MD5 digests.
 
@@ -98,35 +169,33 @@ def tempered(docs: DataFrame, source_col: str = "source") -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "source", id_col: str = "doc_id",
-        block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> DataFrame:
+        block_rows: int = BLOCK_ROWS, resolution: int | None = None) -> DataFrame:
     """All rows of docs with their place in the mixture: adds block_no, slot, within (long) and in_balance (boolean).
 
     Ordering by (slot, within) interleaves the sources. Blocks are ``block_rows`` documents of one
     source in a hashed order; the last may be smaller. in_balance holds for slots before the first
-    source runs out: up to there every prefix of slots is within one block of the targets. Later
-    blocks keep the slot that their release times and deadlines give them, so no row is lost.
-    weights: (source, weight); None: square roots of the row counts. Rows of sources without a
+    source runs out, one without rows at its first slot: up to there every prefix of slots is within
+    one block of the targets. Later blocks follow by their deadlines, so no row is lost.
+    weights: (source, weight); None: square roots of the row counts. With a ``resolution`` weights
+    are first made multiples of 1 / resolution. Rows of sources without a
     positive weight get null slots and in_balance false. A null source is a source of its own; it
     takes part when weights has a null source. Repeated and null ids are rows like others. Columns
-    of docs named as the results are replaced.
+    of docs named as the results are replaced. A row for each source comes to the driver.
     """
     docs = docs.drop("block_no", "slot", "within", "in_balance")
     place, name = column_name(docs, "place"), column_name(docs, "source_name")
     label = docs.withColumn(name, F.col(source_col).cast("string"))
     weights = tempered(docs, source_col) if weights is None else weights.select(F.col("source").cast("string").alias("source"), F.col("weight").cast("double").alias("weight"))
-    plan = period(quantised(weights.groupBy("source").agg(F.max("weight").alias("weight")), resolution), resolution)
+    weights = weights.groupBy("source").agg(F.max("weight").alias("weight"))
+    if resolution is not None:
+        weights = quantised(weights, resolution).select("source", F.col("units").cast("double").alias("weight"))
+    held = {r[0]: r[1] for r in label.groupBy(name).count().collect()}
+    given = {r.source: r.weight for r in weights.collect() if r.weight is not None and 0 < r.weight < inf}
+    names = sorted(given, key=lambda s: (s is not None, (s or "").encode()))
+    owner, block, end = schedule(integers([given[s] for s in names]), [held.get(s, 0) for s in names], block_rows)
+    columns = p_source, p_block, p_slot = tuple(column_name(docs, c) for c in ("p_source", "p_block", "p_slot"))
+    plan = plan_table(docs.sparkSession, names, owner, block, columns)
     rows = numbered(label, name, id_col, place)
     rows = rows.withColumn("block_no", F.floor(F.col(place) / block_rows)).withColumn("within", F.col(place) % block_rows)
-    sizes = label.groupBy(F.col(name).alias("p_source")).agg(F.floor(F.count(F.lit(1)) / block_rows).alias("full"))
-    units = plan.groupBy("source").agg(F.first("units").alias("units"))
-    # slot of the first block that a source cannot fill; the least of them ends the balance
-    ends = units.join(sizes, F.col("source").eqNullSafe(F.col("p_source"))).select(F.col("source").alias("e_source"), "full", "units")
-    ends = ends.join(plan.select(F.col("source").alias("q_source"), "k", F.col("slot").alias("k_slot")), F.col("e_source").eqNullSafe(F.col("q_source")) & (F.col("k") == F.col("full") % F.col("units")))
-    horizon = ends.agg(F.min(F.floor(F.col("full") / F.col("units")) * resolution + F.col("k_slot")).alias("end")).scalar()
-    # one row a unit, at most ``resolution`` rows: small enough to send to every task
-    pattern = F.broadcast(plan.select(F.col("source").alias("p_source"), F.col("units").alias("p_units"), F.col("k").alias("p_k"), F.col("slot").alias("p_slot")))
-    per = F.broadcast(units.select(F.col("source").alias("u_source"), F.col("units").alias("u_units")))
-    rows = rows.join(per, F.col(name).eqNullSafe(F.col("u_source")), "left")
-    rows = rows.join(pattern, F.col(name).eqNullSafe(F.col("p_source")) & (F.col("block_no") % F.col("u_units") == F.col("p_k")), "left")
-    slot = F.floor(F.col("block_no") / F.col("p_units")) * resolution + F.col("p_slot")
-    return rows.select(*docs.columns, "block_no", slot.alias("slot"), F.col("within"), F.coalesce(slot < horizon, F.lit(False)).alias("in_balance"))
+    rows = rows.join(plan, F.col(name).eqNullSafe(F.col(p_source)) & (F.col("block_no") == F.col(p_block)), "left")
+    return rows.select(*docs.columns, "block_no", F.col(p_slot).alias("slot"), F.col("within"), F.coalesce(F.col(p_slot) < end, F.lit(False)).alias("in_balance"))

@@ -1,4 +1,5 @@
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,39 @@ def test_mix_keeps_all_rows_and_follows_the_plan(spark):
     assert Counter(again) == Counter(rows)
 
 
+def balanced(rows, weights, block_rows):
+    """The number of slots in balance, each prefix of which is within one block of the weights as given."""
+    owner = {r.slot: r.source for r in rows if r.in_balance}
+    total, done = sum(map(Fraction, weights.values())), Counter()
+    assert sorted(owner) == list(range(len(owner)))
+    for t in range(len(owner)):
+        done[owner[t]] += 1
+        assert all(abs(done[s] - Fraction(w) * (t + 1) / total) < 1 for s, w in weights.items())
+    assert set(Counter(r.slot for r in rows if r.in_balance).values()) == {block_rows}
+    return len(owner)
+
+
+def test_many_periods_follow_the_given_weights(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4500, "s0").otherwise(F.concat(F.lit("s"), F.col("id") % 19 + 1)).alias("source"))
+    weights = {"s0": 0.5, **{f"s{k}": 0.5 / 19 for k in range(1, 20)}}
+    rows = mixing.mix(docs, spark.createDataFrame(list(weights.items()), "source string, weight double"), block_rows=1).collect()
+    assert balanced(rows, weights, 1) > 8900 and len({r.slot for r in rows}) == 9000
+
+
+def test_default_weights_are_square_roots_over_many_periods(spark):
+    docs = spark.range(16_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 11 < 4, "s0").otherwise(F.concat(F.lit("s"), F.col("id") % 19 + 1)).alias("source"))
+    rows = mixing.mix(docs, block_rows=2).collect()
+    weights = {s: n ** 0.5 for s, n in Counter(r.source for r in rows).items()}
+    assert balanced(rows, weights, 2) > 5000 and len({(r.slot, r.within) for r in rows}) == 16_000
+
+
+def test_plan_in_parts(spark, monkeypatch):
+    docs = mixture(spark)
+    whole = Counter(mixing.mix(docs, block_rows=2).collect())
+    monkeypatch.setattr(mixing, "PLAN_BLOCKS", 100)
+    assert Counter(mixing.mix(docs, block_rows=2).collect()) == whole
+
+
 def test_default_weights_and_empty_input(spark):
     docs = mixture(spark)
     rows = mixing.mix(docs).collect()
