@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowframe.functions.policy import LEVELS, parse_bytes
+from flowframe.operators.ordering import free_name, with_index
 
 log = logging.getLogger(__name__)
 NAMES = ("none", "low", "medium", "high", "critical")
@@ -47,14 +48,14 @@ def sample(spark: SparkSession, limit: int | None = None) -> MemoryInfo:
 def trend(samples: DataFrame, at: str = "at", value: str = "percent") -> DataFrame:
     """(average, maximum, trend): trend is the later half's mean less the earlier half's, 0 under two samples.
 
-    Samples are a bounded history; they are ranked in one task.
+    Samples are numbered by key ranges and then aggregated, so there may be any number of them.
     """
-    listed = samples.agg(F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda x: x[value].cast("double")).alias("v"))
-    half = F.floor(F.size("v") / 2).cast("int")
-    avg = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(a), F.lit(1))
-    early, late = F.slice("v", F.lit(1), half), F.slice("v", half + 1, F.size("v") - half)
-    return listed.select(F.when(F.size("v") > 0, avg(F.col("v"))).alias("average"), F.array_max("v").alias("maximum"),
-                         F.when(F.size("v") < 2, 0.0).otherwise(avg(late) - avg(early)).alias("trend"))
+    rows = samples.select(at, value)
+    n, place = rows.count(), free_name(rows, "place")
+    number, late = F.col(value).cast("double"), F.col(place) >= n // 2
+    mean = lambda part: F.sum(F.when(part, number)) / F.count_if(part)
+    return with_index(rows, [at, value], place).agg(mean(F.lit(True)).alias("average") if n else F.lit(None).cast("double").alias("average"), F.max(number).alias("maximum"),
+                                              (mean(late) - mean(~late) if n > 1 else F.lit(0.0)).alias("trend"))
 
 
 class MemoryMonitor:

@@ -323,14 +323,14 @@ def group_null_key(spark, sf):
 @query
 def group_fold(spark, sf):
     """A fold that depends on the order: v = v / 2 + next, in quarters so that doubles stay exact."""
-    rows = Frame(table(spark, sf, "events").where("event_id < 2000"), ["event_id"])
+    rows = Frame(table(spark, sf, "events"), ["event_id"])
     step = lambda acc, x: (acc * 3 + x) % 1000003
     return rows.group_by("user_id").fold(F.floor("value").cast("bigint"), step, F.lit(7).cast("bigint"), "folded").df
 
 
 @query
 def fold_first_value(spark, sf):
-    rows = Frame(table(spark, sf, "events").where("event_id < 2000"), ["event_id"])
+    rows = Frame(table(spark, sf, "events"), ["event_id"])
     return rows.group_by("event_type").fold(F.floor("value").cast("bigint"), lambda acc, x: acc - x, None, "folded").df
 
 
@@ -615,7 +615,7 @@ def pressure_levels(spark, sf):
 
 @query
 def memory_trend(spark, sf):
-    samples = table(spark, sf, "events").where("event_id < 100").select(F.col("event_id").alias("at"), F.floor("value").alias("percent"))
+    samples = table(spark, sf, "events").select(F.col("event_id").alias("at"), F.floor("value").alias("percent"))
     return memory.trend(samples)
 
 
