@@ -95,6 +95,12 @@ def test_plan_in_parts(spark, monkeypatch):
     assert Counter(mixing.mix(docs, block_rows=2).collect()) == whole
 
 
+def test_more_sources_than_any_resolution(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("site"), (F.col("id") % 1500).cast("string")).alias("source"))
+    rows = mixing.mix(docs, block_rows=2).collect()
+    assert balanced(rows, dict.fromkeys({r.source for r in rows}, 1.0), 2) == 3000 and len(rows) == 6000
+
+
 def test_default_weights_and_empty_input(spark):
     docs = mixture(spark)
     rows = mixing.mix(docs).collect()
