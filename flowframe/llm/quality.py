@@ -22,8 +22,6 @@ from flowframe.llm.common import arrow_map, bound_batches, column_name, extended
 PASSAGE_BYTES = 512
 #: Labelled documents a model is fitted on at most: those with the smallest hashes of their ids.
 TRAIN_DOCS = 4000
-#: Passages of a training document used at most in fitting; spread evenly over the document. Scoring uses all.
-TRAIN_PASSAGES = 48
 HIDDEN, GATE = 16, 8
 CLASSES = 14
 
@@ -90,22 +88,24 @@ class AttentionModel:
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, rounds: int = 60, batch: int = 64, rate: float = 5e-3, decay: float = 1e-4, seed: int = 7) -> AttentionModel:
-    """Adam on the mean log loss, by hand-written gradients, in a fixed order of batches."""
+    """Adam on the mean log loss, by hand-written gradients, in a fixed order of batches; ``rounds`` over all bags."""
     rng = np.random.default_rng(seed)
-    every = np.concatenate(bags)
-    mean, scale = every.mean(0), every.std(0) + 0.02
+    # bags may be of half floats, and large together: no copy of all of them is made
+    n = sum(map(len, bags))
+    mean = sum(b.sum(0, dtype=np.float64) for b in bags) / n
+    scale = (sum(((b - mean) ** 2).sum(0) for b in bags) / n) ** 0.5 + 0.02
+    mean, scale = mean.astype(np.float32), scale.astype(np.float32)
     p = {"W": rng.normal(0, FEATURES ** -0.5, (FEATURES, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, HIDDEN ** -0.5, (HIDDEN, GATE)),
          "U": rng.normal(0, HIDDEN ** -0.5, (HIDDEN, GATE)), "w": rng.normal(0, GATE ** -0.5, GATE), "c": rng.normal(0, HIDDEN ** -0.5, HIDDEN), "d": np.zeros(())}
     model = AttentionModel(mean, scale, p)
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
-    rounds = max(8, min(rounds, 60 * 2000 // len(bags)))
     for _ in range(rounds):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), batch):
             pick = order[at:at + batch]
-            x = np.concatenate([bags[i] for i in pick])
+            x = np.concatenate([bags[i] for i in pick]).astype(np.float32)
             owner = np.repeat(np.arange(len(pick)), [len(bags[i]) for i in pick])
             start = np.searchsorted(owner, np.arange(len(pick)))
             x, h, t, s, e = model.encode(x)
@@ -142,7 +142,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The constant is the share of label 1, 0.5 without labelled documents. Null ids, texts and
     labels teach nothing; an id labelled twice counts once, with its smaller label. The features of
-    at most ``train_docs`` documents come to the driver.
+    all passages of at most ``train_docs`` documents come to the driver, 426 bytes a passage.
     """
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("key")).agg(F.min(label_col).cast("int").alias("label"))
     own = own.where(~held_out(F.col("key"))).orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(train_docs)
@@ -152,8 +152,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def make():
         def run(key, text, label):
             x = passages(text)
-            if len(x) > TRAIN_PASSAGES:
-                x = x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int)]
             yield str(key), zlib.crc32(text), label, x.astype(np.float16).tobytes()
 
         return run
@@ -163,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = np.array([r["label"] for r in found], float)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
-    return fit([np.frombuffer(r["features"], np.float16).reshape(-1, FEATURES).astype(np.float32) for r in found], y)
+    return fit([np.frombuffer(r["features"], np.float16).reshape(-1, FEATURES) for r in found], y)
 
 
 def score_quality(docs: DataFrame, model: AttentionModel | float, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

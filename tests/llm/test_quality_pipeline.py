@@ -61,6 +61,21 @@ def test_model_attends_to_the_passage_that_counts():
     assert ((score >= 0.3) == np.array(y[200:])).mean() > 0.95
 
 
+def test_fitting_takes_every_passage_and_all_rounds(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c. " * 8000 + "!" * i) for i in range(12)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y: seen.append([len(b) for b in bags]))
+    quality.learn(docs, labels)
+    assert seen and set(seen[0]) == {-(-7 * 8000 // quality.PASSAGE_BYTES)}
+    monkeypatch.undo()
+    rounds, encode = [], quality.AttentionModel.encode
+    monkeypatch.setattr(quality.AttentionModel, "encode", lambda model, x: (rounds.append(len(x)), encode(model, x))[1])
+    one = np.zeros((1, quality.FEATURES), np.float32)
+    quality.fit([one] * 4000, np.arange(4000) % 2, rounds=40, batch=2000)
+    assert sum(rounds) == 40 * 4000
+
+
 def test_pipeline_against_plain_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = corpus_pipeline.keep_good(spark, docs, sf)
