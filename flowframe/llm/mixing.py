@@ -30,6 +30,8 @@ from flowframe.llm.common import column_name, materialize
 RESOLUTION = 1000
 #: Blocks of the schedule that the driver hands over at once; a longer one goes to the shared folder in parts.
 PLAN_BLOCKS = 1 << 20
+#: Blocks up to which the schedule is sent to every task, 8 bytes a block; beyond it rows meet it in a shuffled join.
+BROADCAST_BLOCKS = 4 << 20
 BLOCK_ROWS = 8
 #: Rows that one bucket of a source has on average when documents are numbered.
 BUCKET_ROWS = 20_000
@@ -143,6 +145,15 @@ def plan_table(spark: SparkSession, names: list[str | None], owner: array, block
     return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], kind)
 
 
+def slot_lists(spark: SparkSession, names: list[str | None], owner: array, columns: tuple[str, str]) -> DataFrame:
+    """(source, slots of its blocks in order) as a table."""
+    slots = [array("q") for _ in names]
+    for t, i in enumerate(owner):
+        slots[i].append(t)
+    kind = T.StructType([T.StructField(columns[0], T.StringType()), T.StructField(columns[1], T.ArrayType(T.LongType()))])
+    return spark.createDataFrame(pa.table({columns[0]: pa.array(names, pa.string()), columns[1]: pa.array(slots, pa.list_(pa.int64()))}), kind)
+
+
 def numbered(docs: DataFrame, source: str, id_col: str, place: str) -> DataFrame:
     """Adds ``place``: the row's number in its source, from 0, in the order of the ids' MD5 digests.
 
@@ -194,8 +205,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "so
     names = sorted(given, key=lambda s: (s is not None, (s or "").encode()))
     owner, block, end = schedule(integers([given[s] for s in names]), [held.get(s, 0) for s in names], block_rows)
     columns = p_source, p_block, p_slot = tuple(column_name(docs, c) for c in ("p_source", "p_block", "p_slot"))
-    plan = plan_table(docs.sparkSession, names, owner, block, columns)
     rows = numbered(label, name, id_col, place)
     rows = rows.withColumn("block_no", F.floor(F.col(place) / block_rows)).withColumn("within", F.col(place) % block_rows)
-    rows = rows.join(plan, F.col(name).eqNullSafe(F.col(p_source)) & (F.col("block_no") == F.col(p_block)), "left")
-    return rows.select(*docs.columns, "block_no", F.col(p_slot).alias("slot"), F.col("within"), F.coalesce(F.col(p_slot) < end, F.lit(False)).alias("in_balance"))
+    same, slot = F.col(name).eqNullSafe(F.col(p_source)), F.col(p_slot)
+    if len(owner) <= BROADCAST_BLOCKS:
+        rows = rows.join(F.broadcast(slot_lists(docs.sparkSession, names, owner, (p_source, p_slot))), same, "left")
+        slot = F.get(slot, F.col("block_no").cast("int"))
+    else:
+        plan = plan_table(docs.sparkSession, names, owner, block, columns)
+        rows = rows.join(plan, same & (F.col("block_no") == F.col(p_block)), "left")
+    return rows.select(*docs.columns, "block_no", slot.alias("slot"), F.col("within"), F.coalesce(slot < end, F.lit(False)).alias("in_balance"))

@@ -91,6 +91,8 @@ def test_default_weights_are_square_roots_over_many_periods(spark):
 def test_plan_in_parts(spark, monkeypatch):
     docs = mixture(spark)
     whole = Counter(mixing.mix(docs, block_rows=2).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 0)
+    assert Counter(mixing.mix(docs, block_rows=2).collect()) == whole
     monkeypatch.setattr(mixing, "PLAN_BLOCKS", 100)
     assert Counter(mixing.mix(docs, block_rows=2).collect()) == whole
 
