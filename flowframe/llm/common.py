@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,15 @@ BATCH_BYTES = 4 << 20
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    single machine) a temporary folder of this machine takes its place.
+    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset and the
+    master is local (tests, a single machine) a temporary folder of this machine takes its place;
+    on a cluster an unset folder is an error, as executors could not read what others write.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="flowframe-"))
 
 
@@ -123,6 +127,21 @@ def column_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def least_in_component(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """The least index in each node's component, by the edges a - b and those that made ``label``."""
+    label = np.arange(n) if label is None else label
+    while True:
+        new = label.copy()
+        least = np.minimum(label[a], label[b])
+        for end in (a, b):
+            np.minimum.at(new, end, least)
+            np.minimum.at(new, label[end], least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def connected_components(edges: DataFrame, label: str = "components", most_rounds: int = 60) -> DataFrame:
     """Members of the components of an undirected graph: (node, root), root the least node.
 

