@@ -11,13 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowframe.llm import lines, minhash, mixing, quality
-from flowframe.llm.common import materialize
+from flowframe.llm.common import discard, materialize
 from flowframe.llm.queries import tokens
 
-#: Ids of removed documents up to this number are sent to the tasks; beyond it they meet the documents in a join.
-BROADCAST_IDS = 500_000
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -30,17 +26,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
-    gone = materialize(minhash.near_duplicates(docs).where("not kept").select("doc_id"), "pipeline-gone")
-    few = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    # rows that repeat an id and a text are one document
-    twice = docs.groupBy("doc_id").count().where("count > 1")
-    return (left if twice.isEmpty() else left.dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    """One document of each group of near-duplicates stays, the one with the smallest id; rows that share an id are told apart."""
+    return minhash.deduplicate(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order that mixes their sources to the target weights; files and rows keep it."""
+    """All documents, in the order that mixes their sources to the target weights.
+
+    The order is that of the written files by name and of the rows in them; a reader that needs
+    it reads them so (a scan is free to deal files to tasks in another order).
+    """
     mixed = mixing.mix(docs)
     return mixed.orderBy(F.col("slot").asc_nulls_last(), "within", "doc_id").select(*docs.columns)
 
@@ -63,7 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; a stage's table is deleted once the next one is written, the last stays as the result reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = getattr(docs, "path", None)
         docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"), "zstd")
+        if before:
+            discard(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
