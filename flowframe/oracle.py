@@ -65,10 +65,10 @@ ORACLE_SQL: dict[str, str] = {
     "group_null_key": "SELECT quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     "group_fold": """
         SELECT user_id, list_reduce(list_prepend(CAST(7 AS BIGINT), list(CAST(floor(value) AS BIGINT) ORDER BY event_id)), lambda acc, x: (acc * 3 + x) % 1000003) AS folded
-        FROM events WHERE event_id < 2000 GROUP BY user_id""",
+        FROM events GROUP BY user_id""",
     "fold_first_value": """
         SELECT event_type, list_reduce(list(CAST(floor(value) AS BIGINT) ORDER BY event_id), lambda acc, x: acc - x) AS folded
-        FROM events WHERE event_id < 2000 GROUP BY event_type""",
+        FROM events GROUP BY event_type""",
     "reduce_total": "SELECT list_reduce(list_prepend(CAST(1 AS BIGINT), list(CAST(n_nationkey AS BIGINT) ORDER BY n_nationkey)), lambda acc, x: acc * 2 + x) AS folded FROM nation",
     "row_count": "SELECT count(*) AS n FROM lineitem",
     "composite_key_group": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2",
@@ -154,7 +154,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT CASE WHEN value / 5 >= 95 THEN 'critical' WHEN value / 5 >= 85 THEN 'high' WHEN value / 5 >= 70 THEN 'medium' WHEN value / 5 >= 50 THEN 'low' ELSE 'none' END AS level, count(*) AS n
         FROM events GROUP BY 1""",
     "memory_trend": """
-        WITH s AS (SELECT floor(value) AS p, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events WHERE event_id < 100)
+        WITH s AS (SELECT floor(value) AS p, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events)
         SELECT sum(p) / count(*) AS average, max(p) AS maximum,
           sum(p) FILTER (i >= n // 2) / count(*) FILTER (i >= n // 2) - sum(p) FILTER (i < n // 2) / count(*) FILTER (i < n // 2) AS trend FROM s""",
     "checkpoint_schedule": """
