@@ -1,4 +1,10 @@
+import random
+import re
+import string
+import time
 from collections import Counter
+from itertools import accumulate
+from operator import add
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +17,7 @@ from . import plain
 
 @pytest.fixture(scope="module")
 def ratios(spark, docs):
-    return secrets.train(secrets.samples(spark, docs))
+    return secrets.train(secrets.samples(spark), secrets.corpus_words(docs))
 
 
 def test_base_secrets_against_plain(docs, corpus, ratios):
@@ -34,6 +40,61 @@ def test_random_strings_are_told_from_identifiers(spark, ratios):
     assert found == {0, 1, 5}
 
 
+def random_spans(text, ratios, base, threshold=secrets.THRESHOLD, least=secrets.TOKEN_CHARS):
+    """(start, kind, end) of the runs that the models call random and that touch no base span."""
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text or ""):
+        t = m[0]
+        if len(t) >= least and re.search("[0-9]", t) and re.search("[A-Za-z]", t) and not any(s < m.end() and m.start() < e for s, _, e in base):
+            if sum(ratios[128 * ord(x) + ord(y)] for x, y in zip(t, t[1:])) / (len(t) - 1) >= threshold:
+                out.append((m.start(), "random", m.end()))
+    return out
+
+
+def test_all_spans_against_brute_force(spark, corpus, ratios):
+    rng = random.Random(5)
+    alphabet = string.ascii_letters + string.digits + "+/_=-"
+    pieces = ["token=", "password: ", "AKIA", " ", "\n", ".", "é", "secret='", "0123456789abcdef" * 2, "get_name_of_user_2024_again", "AKIA" + "Q7" * 9, "x"]
+    made = ["".join(rng.choice(pieces) if rng.random() < 0.7 else "".join(rng.choices(alphabet, k=rng.randrange(1, 40))) for _ in range(n)) for n in (5, 40, 400, 3000)]
+    made += ["".join(rng.choice([" ", "token=abcdefgh9 ", "".join(rng.choices(alphabet, k=25))]) for _ in range(600)) for _ in range(6)]
+    rows = [(k, t) for k, t in corpus] + [(700_000 + i, t) for i, t in enumerate(made)] + [(700_001, made[1])] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r.doc_id, tuple((s.start, s.kind, s.end) for s in r.secrets)) for r in secrets.find_secrets(df, ratios).collect())
+    want, found = Counter(), 0
+    for k, t in rows:
+        base = plain.base_secrets(t)
+        more = random_spans(t, ratios, base)
+        found += len(more)
+        want[(k, tuple(sorted(base + more, key=lambda s: (s[0], secrets.KINDS.index(s[1])))))] += 1
+    assert got == want and found > 500
+
+
+def test_long_tokens_and_many_matches_take_linear_time(spark, ratios):
+    rng = random.Random(2)
+    token = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=1 << 20))
+    many = " ".join(f"token=abcdefgh{i} a{i}b" + "7x9" * 8 for i in range(100_000))
+    df = spark.createDataFrame([(1, f"data: {token} end"), (2, many)], "doc_id bigint, text string").repartition(2, "doc_id")
+    began = time.monotonic()
+    got = {r.doc_id: (r.n, r.last) for r in secrets.find_secrets(df, ratios).select("doc_id", F.size("secrets").alias("n"), F.element_at("secrets", -1)["end"].alias("last")).collect()}
+    assert got[1] == (1, 6 + len(token)) and got[2][0] >= 100_000 and got[2][1] <= len(many)
+    assert time.monotonic() - began < 60
+
+
+def test_running_totals(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(100) for _ in range(n)]) for i, n in enumerate((0, 1, 2, 63, 64, 65, 128, 129, 4096, 4097, 9000))]
+    df = spark.createDataFrame(rows, "k int, a array<int>")
+    for merge, plain_one in ((add, add), (F.greatest, max)):
+        got = {r.k: r.t for r in df.select("k", secrets.running(F.col("a"), merge).alias("t")).collect()}
+        assert got == {k: list(accumulate(a, plain_one)) for k, a in rows}
+
+
+def test_corpus_words_are_counted_over_all_documents(spark, docs, corpus):
+    rule = re.compile(secrets.WORD)
+    want = Counter(w for _, t in corpus for w in rule.findall(t or ""))
+    assert {r.text: r.n for r in secrets.corpus_words(docs).collect()} == want
+
+
 def test_training_on_nothing_gives_no_opinion(spark, no_docs):
     ratios = secrets.train(spark.createDataFrame([], "text string, label int"))
     assert set(ratios) == {0.0} and len(ratios) == 128 * 128
