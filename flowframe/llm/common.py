@@ -112,6 +112,30 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
     return df.mapInArrow(run, struct)
 
 
+def streamed(first: DataFrame, second: DataFrame, parts: int, fn: Callable[[Iterator[tuple[int, pa.RecordBatch]]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Partition by partition the rows of ``first``, then those of ``second``, as a stream of batches.
+
+    Both have an int column ``part`` below ``parts``, and no column ``kind``. ``fn`` gets (kind, batch)
+    with kind 0 for first and 1 for second, a batch holding rows of one part; it need not hold
+    more than a batch of either. Unlike a group, a part may be of any size.
+    """
+    both = first.withColumn("kind", F.lit(0)).unionByName(second.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces():
+            for batch in batches:
+                part, kind = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("part", "kind"))
+                cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
+                for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                    if a < b:
+                        yield int(kind[a]), batch.slice(a, b - a)
+
+        return_freed_memory()
+        yield from fn(pieces())
+
+    return both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind").mapInArrow(run, schema)
+
+
 def extended(df: DataFrame, **kinds: T.DataType) -> T.StructType:
     """The schema of df with more fields; df's own stays as it is."""
     return T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in kinds.items())])

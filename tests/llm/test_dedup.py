@@ -105,7 +105,9 @@ def test_window_counts_have_the_recall_they_promise():
 @pytest.mark.parametrize("filter_bytes", [None, -1])
 def test_lines_against_plain(docs, corpus, monkeypatch, filter_bytes):
     if filter_bytes:
-        monkeypatch.setattr(lines, "FILTER_BYTES", filter_bytes)
+        # filters stay with their shards, common keys and shards of many references are dealt over several tasks
+        for name, value in (("FILTER_BYTES", filter_bytes), ("HOT_DOCS", 2), ("PROBE_ROWS", 7)):
+            monkeypatch.setattr(lines, name, value)
     out = lines.dedup_lines(docs)
     assert [c for c in out.columns if c not in ("n_lines", "n_dropped")] == [c for c in docs.columns if c != "n_lines"]
     got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect())
@@ -121,16 +123,62 @@ def test_line_index_takes_documents_back(spark, corpus):
     df = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
     early, late = own[::2], own[1::2]
     index = lines.LineIndex(spark).insert(df(early))
+    # ids that repeat in both halves: their lines were there before
+    late = [r for r in late if r[0] not in {k for k, _ in early}]
     before = Counter(tuple(r) for r in index.repeated.collect())
     index.insert(df(late))
-    both = Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in lines.dedup_lines(df(own), index=index).collect())
-    assert both == Counter(plain.kept_lines(own))
+    both = Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in lines.dedup_lines(df(early + late), index=index).collect())
+    assert both == Counter(plain.kept_lines(early + late))
     index.delete(df(late))
     assert Counter(tuple(r) for r in index.repeated.collect()) == before
     again = Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in lines.dedup_lines(df(early), index=index).collect())
     assert again == Counter(plain.kept_lines(early))
 
 
+def held(index):
+    """The filters' fingerprints and the exact counts."""
+    return sum(int((lines.CuckooFilter.load(r.data).table > 0).sum()) for r in index.filters.collect()), Counter(tuple(r) for r in index.state().where("n_docs > 0").collect())
+
+
+def plain_state(rows):
+    keys = {}
+    for k, t in rows:
+        for line in t.split("\n"):
+            key = lines.line_key(line.encode())
+            if len(key) >= 20:
+                keys.setdefault(lines.key_hash(key), set()).add(k)
+    return Counter((*key, len(docs), max(docs)) for key, docs in keys.items())
+
+
+def test_line_index_is_repeatable_and_works_by_the_batch(spark, monkeypatch):
+    monkeypatch.setattr(lines, "MOST_RUNS", 3)
+    text = lambda i: "\n".join(f"line number {j} of the common stock" for j in range(i % 7, 40, 1 + i % 5)) + f"\nonly here: document number {i}"
+    df = lambda ids: spark.createDataFrame([(i, text(i)) for i in ids], "doc_id bigint, text string")
+    index = lines.LineIndex(spark).insert(df(range(200)))
+    assert held(index)[1] == plain_state([(i, text(i)) for i in range(200)])
+    # a batch writes its own references and the keys it touches, whatever the index holds
+    index.insert(df([500]))
+    run = index.runs[-1]
+    n = len(text(500).split("\n"))
+    assert index.written().where(f"run = {run}").count() == n and index._read("keys", "hi bigint, lo bigint, n_docs bigint, last_doc bigint, was_docs bigint").where(f"run = {run}").count() == n
+    once = held(index)
+    runs = list(index.runs)
+    index.insert(df([500, 3]))
+    assert held(index) == once and index.runs == runs
+    index.delete(df([500]))
+    index.delete(df([500, 501]))
+    assert held(index)[1] == plain_state([(i, text(i)) for i in range(200)])
+    for i in range(0, 200, 40):  # runs are merged on the way
+        index.delete(df(range(i, i + 40)))
+        n, counts = held(index)
+        assert counts == plain_state([(k, text(k)) for k in range(i + 40, 200)])
+        assert n == sum(c[2] >= 3 for c in counts)
+    assert len(index.runs) <= 3
+    index.insert(df(range(5)))
+    assert held(index)[1] == plain_state([(i, text(i)) for i in range(5)])
+    assert lines.LineIndex(spark).delete(df([1])).state().count() == 0
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(3)
     keys = rng.integers(-2**63, 2**63 - 1, (50_000, 2))
