@@ -2,7 +2,9 @@ import base64
 import hashlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import zstandard
@@ -11,23 +13,28 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from flowframe.llm import bpe, topk, warc
+from flowframe.llm.oracle import ORACLE_SQL
 
 
-@pytest.mark.parametrize("block,group", [(8192, 512), (16, 3)])
-def test_top_k_against_brute_force(spark, block, group):
+@pytest.mark.parametrize("block", [8192, 16])
+def test_top_k_against_brute_force_and_sql(spark, block):
     rng = np.random.default_rng(6)
     rows = [(i, [float(x) for x in rng.standard_normal(8) * 0.3]) for i in range(120)]
-    rows += [(200, rows[0][1]), (201, rows[0][1]), (50, rows[50][1]), (250, None), (300, [float("nan")] * 8), (350, [None] * 8), (400, [1.0, 2.0]), (None, rows[1][1]), (450, []), (500, [0.0] * 8)]
-    df = spark.createDataFrame([(k, v, 1) for k, v in rows], "vec_id bigint, embedding array<double>, id int").repartition(4)
-    fine = {(k, tuple(np.floor(256 * np.array(v)).astype(int))) for k, v in rows if k is not None and v and None not in v and np.isfinite(v).all()}
+    rows += [(200, rows[0][1]), (201, rows[0][1]), (50, rows[50][1]), (250, None), (300, [float("nan")] * 8), (350, [None] * 8), (400, [1.0, 2.0]), (None, rows[1][1]), (450, []), (500, [0.0] * 8),
+             (7, rows[7][1]), (7, rows[7][1]), (8, rows[9][1]), (401, [2.0, 1.0]), (100, rows[3][1])]
+    df = spark.createDataFrame([(k, v, 1) for k, v in rows], "vec_id bigint, embedding array<double>, part int").repartition(4)
+    fine = [(k, tuple(np.floor(256 * np.array(v)).astype(int))) for k, v in rows if k is not None and v and None not in v and np.isfinite(v).all()]
     want = []
-    for q, v in fine:
-        if q % 50 == 0:
-            scored = sorted((-int(np.dot(v, w)), k) for k, w in fine if k != q and len(w) == len(v))[:5]
-            want += [(q, r + 1, k, -s) for r, (s, k) in enumerate(scored)]
-    out = topk.top_k(df, topk.queries_of(df), block_rows=block, query_rows=group)
-    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
-    assert topk.top_k(df.limit(0), df.limit(0)).collect() == []
+    for q in {q for q, _ in fine if q % 50 == 0}:
+        scored = sorted((-int(np.dot(v, w)), k) for p, v in fine if p == q for k, w in fine if k != q and len(w) == len(v))[:5]
+        want += [(q, r + 1, k, -s) for r, (s, k) in enumerate(scored)]
+    out = topk.top_k(df, topk.queries_of(df), block_rows=block)
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == sorted(want)
+    embeddings = pa.table({"vec_id": [k for k, v in rows if v is None or len(v) == 8], "embedding": pa.array([v for _, v in rows if v is None or len(v) == 8], pa.list_(pa.float64()))})  # noqa: F841
+    told = duckdb.sql(ORACLE_SQL["op7_topk_search"]).fetchall()
+    assert sorted((q, r, k, s) for q, r, k, s in told if q is not None and k is not None) == [r for r in got if r[0] != 400]
+    assert topk.top_k(df.limit(0), df.limit(0)).collect() == [] and topk.top_k(df, df.limit(0)).collect() == []
 
 
 def test_block_stops_early_and_stays_exact():
@@ -39,6 +46,9 @@ def test_block_stops_early_and_stays_exact():
         score = rows @ rows[q]
         want = sorted((-int(s), i) for i, s in enumerate(score) if i != q)[:5]
         assert block.top(rows[q], q, 5) == [(-s, i) for s, i in want]
+    assert block.taken < 0.75 * block.offered
+    wide = topk.Block(np.arange(3000), rows << 18)
+    assert wide.top(rows[7] << 18, 7, 5) == [(s << 36, i) for s, i in block.top(rows[7], 7, 5)]
 
 
 def pages(spark):
