@@ -1,3 +1,4 @@
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -66,8 +67,8 @@ def embeddings(spark):
 @pytest.mark.parametrize("block", [None, 8])
 def test_embeddings_against_brute_force(spark, monkeypatch, block):
     if block:
-        monkeypatch.setattr(embedding_dedup, "LEAST_BLOCK", block)
-        monkeypatch.setattr(embedding_dedup, "MOST_BLOCK", block)
+        for name in ("LEAST_BLOCK", "MOST_BLOCK"):
+            monkeypatch.setattr(embedding_dedup, name, block)
     rows = embeddings(spark)
     unit = []
     for _, v in rows:
@@ -98,8 +99,32 @@ def test_window_counts_have_the_recall_they_promise():
     other -= (other * a).sum(1, keepdims=True) * a
     other /= np.linalg.norm(other, axis=1, keepdims=True)
     b = 0.9505 * a + np.sqrt(1 - 0.9505 ** 2) * other
-    left, right = embedding_dedup.linked(a, b, 0.95, embedding_dedup.enough())
-    assert (left == right).sum() == 3000
+    one = np.ones(3000, np.int64)
+    of_a, of_b, label = embedding_dedup.tally(a, b, 0.95, embedding_dedup.enough(), False, one, one)
+    assert (of_a == 1).all() and (of_b == 1).all() and (label == np.tile(np.arange(3000), 2)).all()
+
+
+def test_a_block_of_near_copies_keeps_no_pairs():
+    """All of 8192 vectors are linked with all others: 67 million links are added up in little memory."""
+    rng = np.random.default_rng(3)
+    own = embedding_dedup.units(rng.standard_normal(32) + 0.01 * rng.standard_normal((8192, 32)))
+    tracemalloc.start()
+    of_a, _, label = embedding_dedup.tally(own, own, 0.95, embedding_dedup.enough(), True, np.ones(8192, np.int64), np.ones(8192, np.int64))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (of_a == 8191).all() and not label.any() and most < 400 << 20
+
+
+def test_vectors_that_are_multiples_fill_several_blocks(spark, monkeypatch):
+    """Multiples of one vector share their place on every direction."""
+    for name in ("LEAST_BLOCK", "MOST_BLOCK"):
+        monkeypatch.setattr(embedding_dedup, name, 40)
+    base = np.random.default_rng(8).standard_normal(12)
+    df = spark.createDataFrame([(i, [float(x) for x in base * (i + 1)]) for i in range(300)], "vec_id bigint, embedding array<double>")
+    rows = embedding_dedup.near_duplicates(df).collect()
+    assert Counter((r.n_links, r.component_id) for r in rows) == {(299, 0): 300} and sum(r.kept for r in rows) == 1
+    floats = embedding_dedup.near_duplicates(df.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))).collect()
+    assert Counter((r.n_links, r.component_id) for r in floats) == {(299, 0): 300}
 
 
 @pytest.mark.parametrize("filter_bytes", [None, -1])
