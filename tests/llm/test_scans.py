@@ -169,6 +169,17 @@ def test_license_query_finds_notices_over_many_lines(spark, tmp_path):
     assert rows == {0: ("bsd", 1.0), 1: ("bsd", 1.0), 2: ("bsd", len(set(own[:16])) / size), 3: ("", 0.0)}
 
 
+def test_license_filters_reject(spark, corpus):
+    rows = [(i, " ".join(t.split()[:n])) for i, (t, n) in enumerate((t, n) for t in licenses.TEMPLATES.values() for n in (5, 9, 14, 20, 40, 200))]
+    df = spark.createDataFrame(rows + [(900 + k, t) for k, t in enumerate(t for _, t in corpus)], "doc_id bigint, text string")
+    n = licenses.filter_counts(df)
+    assert n["prefix"] > n["length"] > n["position"] >= n["contained"] > 0
+    vocabulary = {k: set(t.split()) for k, t in licenses.TEMPLATES.items()}
+    contained = sum(4 * len(own & set(plain.words(t))) >= 3 * len(own) for _, t in [*rows, *corpus] for own in vocabulary.values())
+    assert n["contained"] == contained
+    assert licenses.filter_counts(df.limit(0))["prefix"] == 0
+
+
 def test_license_scan_of_nothing_and_without_templates(no_docs, docs):
     assert licenses.find_licenses(no_docs).collect() == []
     out = licenses.find_licenses(docs, phrases={}, templates={})
