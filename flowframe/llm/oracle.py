@@ -133,31 +133,31 @@ SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_bas
 FROM split s LEFT JOIN based b ON s.doc_id = b.doc_id LEFT JOIN blocks k ON s.doc_id = k.doc_id
 """
 
+# quotients of doubles are rounded to six places before they are cut: equal weights must give whole numbers
 ORACLE_SQL["op5_source_mixing"] = r"""
 WITH RECURSIVE sizes AS (
   SELECT source, count(*) AS n, sqrt(CAST(count(*) AS DOUBLE)) AS weight FROM documents GROUP BY source
-), totals AS (
-  SELECT list_reduce(list(weight ORDER BY source), lambda acc, x: acc + x) AS total, 1000 - count(*) AS spare FROM sizes
-), shares AS (
-  SELECT source, n, spare, weight * spare / total AS share FROM sizes, totals
-), units AS (
-  SELECT source, n, CAST(floor(share) AS BIGINT) + 1 + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, source)
-    <= spare - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS units FROM shares
 ), listed AS (
-  SELECT list(source ORDER BY source) AS s, list(units ORDER BY source) AS a FROM units
+  SELECT list(source ORDER BY source NULLS FIRST) AS s, list(n ORDER BY source NULLS FIRST) AS held,
+         list(weight ORDER BY source NULLS FIRST) AS a, sum(weight) AS total FROM sizes
 ), slots(t, n, b, k) AS (
-  SELECT CAST(0 AS BIGINT), list_transform(a, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM listed
+  SELECT CAST(0 AS BIGINT), list_transform(a, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM listed WHERE len(a) > 0
   UNION ALL
   SELECT t + 1, list_transform(n, lambda x, i: x + CASE WHEN i = best THEN 1 ELSE 0 END), best, n[best] FROM (
-    SELECT t, n, CAST(list_position(due, list_min(due)) AS BIGINT) AS best FROM (
-      SELECT t, n, list_transform(a, lambda x, i: CASE WHEN n[i] * 1000 // x <= t THEN (n[i] * 1000 + 1000 + x - 1) // x ELSE 1000000000 END) AS due FROM slots, listed WHERE t < 1000))
-), pattern AS (
-  SELECT s[b] AS source, k, t - 1 AS slot FROM slots, listed WHERE t > 0
+    SELECT t, n, held, CAST(list_position(due, list_min(due)) AS BIGINT) AS best FROM (
+      SELECT t, n, held, list_transform(a, lambda x, i: CASE WHEN floor(round(n[i] * total / x, 6)) <= t THEN ceil(round((n[i] + 1) * total / x, 6)) ELSE 1e18 END) AS due FROM slots, listed))
+  WHERE n[best] < held[best] // 8
 ), ends AS (
-  SELECT min((u.n // 8) // u.units * 1000 + p.slot) AS stop FROM units u JOIN pattern p ON p.source = u.source AND p.k = (u.n // 8) % u.units
+  SELECT max(t) AS stop, max_by(n, t) AS done FROM slots
+), rest AS (
+  SELECT i, unnest(range(done[i], (held[i] + 7) // 8)) AS k FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM listed, ends)
+), plan AS (
+  SELECT b AS i, k, t - 1 AS slot FROM slots WHERE t > 0
+  UNION ALL
+  SELECT i, k, stop - 1 + row_number() OVER (ORDER BY ceil(round((k + 1) * total / a[i], 6)), i) FROM rest, listed, ends
 ), placed AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS place FROM documents
 )
-SELECT doc_id, d.source, place // 8 AS block_no, place // 8 // units * 1000 + p.slot AS slot, place % 8 AS within, place // 8 // units * 1000 + p.slot < stop AS in_balance
-FROM placed d JOIN units u ON d.source = u.source JOIN pattern p ON p.source = d.source AND p.k = (place // 8) % units, ends
+SELECT doc_id, d.source, place // 8 AS block_no, CAST(slot AS BIGINT) AS slot, place % 8 AS within, slot < stop AS in_balance
+FROM placed d JOIN (SELECT s[i] AS source, k, slot FROM plan, listed) p ON d.source IS NOT DISTINCT FROM p.source AND place // 8 = p.k, ends
 """
