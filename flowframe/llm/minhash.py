@@ -15,7 +15,7 @@ counted inside pairs of blocks, of which only spanning links come out.
 
 from __future__ import annotations
 
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ MISS = 1e-7
 LEADER_ROUNDS = 2
 #: Shingles in a block of texts whose overlaps one task counts.
 BLOCK_SHINGLES = 300_000
+#: Blocks of one list that a task pairs with the list's others.
+LIST_CHUNK = 64
 #: Texts of this many classes at most are picked out by a broadcast of their names, else by a join.
 BROADCAST_NAMES = 300_000
 #: Fixed odd factors that tell a shingle's places apart.
@@ -105,7 +107,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 def _lists(classes: DataFrame, k: int, threshold: tuple[int, int], shared: int) -> DataFrame:
     """(value, node): the inverted lists of the values in the classes' prefixes."""
     held = classes.select("node", F.explode("sketch").alias("value"))
-    common = held.groupBy("value").agg(F.count(F.lit(1)).alias("n_sketches")).where("n_sketches > 1")
+    # a table of its own, so that the join deals a common value's rows over several tasks
+    common = materialize(held.groupBy("value").agg(F.count(F.lit(1)).alias("n_sketches")).where("n_sketches > 1"), "minhash-common")
     own = held.join(common, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n_sketches", "value"))).alias("common"))
     size = F.size("sketch")
     # a set that lies whole in its sketch, as do all sets it can be linked with, shares a known part of it
@@ -178,23 +181,26 @@ class _Verifier:
     def spanning(self, lists: DataFrame) -> DataFrame:
         """Links (a, b) that span the components among members of common lists, by exact overlaps.
 
-        Members are dealt into blocks of about BLOCK_SHINGLES shingles, those led by the same class
-        together; a larger following fills several blocks. Blocks meet where they share a list. In
-        a pair of blocks the full sets' overlaps are counted over their own inverted lists; only
-        spanning links leave the task.
+        Members are dealt into blocks of about BLOCK_SHINGLES shingles: by size first, as sets are
+        only linked with those of about their size, and in a class of sizes those led by the same
+        class together; a larger following fills several blocks. Blocks of like sizes meet where
+        they share a list. In a pair of blocks the full sets' overlaps are counted over their own
+        inverted lists; only spanning links leave the task.
         """
-        sizes = self.classes.select("node", "n_shingles")
-        lead = lists.groupBy("value").agg(F.min("node").alias("lead"))
+        # sets that can be linked lie in one class of sizes or in neighbouring ones
+        ratio = log(self.threshold[1] / self.threshold[0] * 1.000001)
+        sizes = self.classes.select("node", "n_shingles", F.floor(F.log("n_shingles") / ratio).cast("int").alias("sized"))
+        lead = materialize(lists.groupBy("value").agg(F.min("node").alias("lead")), "minhash-leads")
         member = lists.join(lead, "value").groupBy("node").agg(F.min("lead").alias("lead")).join(sizes, "node")
-        led = member.groupBy("lead").agg(F.sum("n_shingles").alias("weight"))
-        total = led.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
-        buckets = F.lit(max(1, total // BLOCK_SHINGLES))
+        led = member.groupBy("sized", "lead").agg(F.sum("n_shingles").alias("weight"))
+        # a row for each class of sizes, about eight of them for a tenfold size
+        whole = led.groupBy("sized").agg(F.ceil(F.sum("weight") / BLOCK_SHINGLES).alias("buckets"))
         parts = F.ceil(F.col("weight") / BLOCK_SHINGLES)
-        block = F.concat_ws(".", F.when(parts > 1, F.concat(F.lit("n"), F.col("lead"))).otherwise(F.pmod(F.xxhash64("lead"), buckets).cast("string")), F.pmod(F.xxhash64("node"), parts).cast("string"))
-        dealt = materialize(member.join(led, "lead").select("node", F.when(parts > 1, block).otherwise(F.pmod(F.xxhash64("lead"), buckets).cast("string")).alias("block")), "minhash-blocks")
-        held = lists.select("value", "node").join(dealt, "node").select("value", "block").distinct()
-        meets = held.select("value", F.col("block").alias("i")).join(held.select("value", F.col("block").alias("j")), "value").where("i <= j").select("i", "j").distinct()
-        meets = materialize(meets, "minhash-meets")
+        own = F.when(parts > 1, F.concat_ws(".", "sized", F.concat(F.lit("n"), F.col("lead")), F.pmod(F.xxhash64("node"), parts))).otherwise(
+            F.concat_ws(".", "sized", F.pmod(F.xxhash64("lead"), "buckets")))
+        dealt = materialize(member.join(led, ["sized", "lead"]).join(F.broadcast(whole), "sized").select("node", "sized", own.alias("block")), "minhash-blocks")
+        meets = materialize(self._meetings(lists.select("value", "node").join(dealt, "node").select("value", "sized", "block").distinct()), "minhash-meets")
+        dealt = dealt.select("node", "block")
         packed = self.packed(lists.select("node").distinct())
         rows = dealt.join(packed, "node")
         one = meets.join(rows.withColumnRenamed("block", "i"), "i").select("i", "j", F.lit(True).alias("left"), "node", "packed")
@@ -214,10 +220,23 @@ class _Verifier:
             return pa.table({"a": pa.array(node[root[at]], pa.int64()), "b": pa.array(node[at], pa.int64())})
 
         out = materialize(one.unionAll(two).groupBy("i", "j").applyInArrow(overlaps, "a bigint, b bigint"), "minhash-links")
-        for table in (dealt, meets, packed):
+        for table in (meets, packed, lead):
             discard(table.sparkSession, table.path)
         return out
 
+    @staticmethod
+    def _meetings(held: DataFrame) -> DataFrame:
+        """(i, j), i <= j, of blocks that share a list (value, sized, block) and hold like sizes.
+
+        The blocks of a long list are dealt into chunks: a task pairs a chunk with the others.
+        """
+        held = materialize(held, "minhash-held")
+        long = materialize(held.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / LIST_CHUNK).cast("int").alias("chunks")).where("chunks > 1"), "minhash-long")
+        rows = held.join(long, "value", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        left = rows.select("value", F.pmod(F.xxhash64("block"), "chunks").cast("int").alias("chunk"), F.col("block").alias("i"), F.col("sized").alias("i_sized"))
+        right = rows.select("value", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("block").alias("j"), F.col("sized").alias("j_sized"))
+        return left.join(right, ["value", "chunk"]).where("i <= j and abs(i_sized - j_sized) <= 1").select("i", "j").distinct()
+
 
 def _linked_sets(sets: list[np.ndarray], left: np.ndarray, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Indices of linked pairs: a left one with a right one, or any two where all are left ones."""
@@ -324,6 +343,7 @@ def _components(lists: DataFrame, verifier: _Verifier) -> DataFrame:
         # lists that still span several components; in the first round the least node leads, then one drawn by hash
         rank = F.col("node") if turn == 0 else F.xxhash64("node", F.col("value") % 4, F.lit(turn))
         ends = open_.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("node", "label"), rank).alias("lead")).where("low < high")
+        ends = materialize(ends, "minhash-ends")
         if turn < LEADER_ROUNDS:
             lead = ends.select("value", F.col("lead.node").alias("lead"), F.col("lead.label").alias("lead_label"))
             pairs = open_.join(lead, "value").where("label <> lead_label").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))

@@ -33,6 +33,25 @@ def test_minhash_family_around_the_threshold(spark):
     assert got == sorted(plain.near_duplicates(rows))
 
 
+def test_minhash_finds_every_link_of_a_table(spark):
+    """Recall over links of full sets is 1: components are those of a comparison of all pairs."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    assert Counter(tuple(r) for r in minhash.near_duplicates(df).collect()) == Counter(plain.near_duplicates(rows))
+
+
+def test_common_passages_across_documents_that_are_no_duplicates(spark, monkeypatch):
+    """A list of very many members that are not linked: blocks of it meet in chunks."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 200)
+    monkeypatch.setattr(minhash, "LIST_CHUNK", 3)
+    rng = np.random.default_rng(7)
+    common = [f"c{i}" for i in range(30)]
+    rows = [(i, " ".join([*common, *(f"u{i}x{j}" for j in range(int(rng.integers(8, 40))))])) for i in range(150)]
+    rows += [(1000 + i, t + " tail") for i, t in rows[::10]]
+    got = sorted(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == sorted(plain.near_duplicates(rows))
+
+
 def test_blocks_alone_give_the_same_links(spark, corpus, monkeypatch):
     """Without rounds of leaders, and with blocks of a few texts, the exact count inside blocks finds everything."""
     monkeypatch.setattr(minhash, "LEADER_ROUNDS", 0)
