@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -24,11 +25,16 @@ FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 EMPTY_FRAME = b"\x50\x2a\x4d\x18\x00\x00\x00\x00"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
+#: Headers that a record may have more than once.
+REPEATABLE = ("warc-concurrent-to",)
+DATE = re.compile(r"\d{4}(-\d\d(-\d\d(T\d\d:\d\d(:\d\d(\.\d{1,9})?)?Z)?)?)?")
 
 #: An archive is closed once it holds this many bytes; the reader takes one archive at a time.
 ARCHIVE_BYTES = 32 << 20
 #: A dictionary is trained on up to so many leading payloads of its archive, of so many bytes each.
 DICTIONARY_SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 200, 8 << 10, 32 << 10
+#: A record that would be larger is a fault: a small frame may unpack to anything.
+MOST_RECORD_BYTES = 1 << 30
 #: Repeated payloads up to this number are sent to the tasks; beyond it they meet their pages in a join.
 BROADCAST_GROUPS = 100_000
 
@@ -60,13 +66,18 @@ def format_record(name: str, url: str | None, payload: bytes, refers_to: str | N
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _headers(lines: list[bytes]) -> dict[str, str]:
+def _headers(lines: list[bytes], once: bool = False) -> dict[str, str]:
+    """Names in lower case; with ``once`` only REPEATABLE ones may be there twice."""
     out = {}
     for line in lines:
         name, colon, value = line.partition(b":")
         if not colon or not name or name != name.strip():
             raise BadRecord(f"not a header: {line[:80]!r}")
-        out[name.decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+        known = name.decode("utf-8", "replace").lower()
+        value = value.strip().decode("utf-8", "replace")
+        if known in out and (once and known not in REPEATABLE or known == "content-length" and out[known] != value):
+            raise BadRecord(f"two headers {known}")
+        out[known] = value
     return out
 
 
@@ -79,17 +90,19 @@ def _number(text: str, what: str) -> int:
 def parse_record(data: bytes) -> tuple:
     """(record_id, record_type, target_uri, date, payload_digest, payload_bytes, refers_to, payload) of one record.
 
-    Checks the version, the required headers, the block's length and end, the HTTP content length
-    and the payload's digest.
+    Checks the version, that the required headers are there and none is doubled, the date's form,
+    the block's length and end, the HTTP content length and the payload's digest.
     """
     head, gap, rest = data.partition(b"\r\n\r\n")
     version, *lines = head.split(b"\r\n")
     if not gap or not version.startswith(b"WARC/1."):
         raise BadRecord("no WARC header")
-    h = _headers(lines)
+    h = _headers(lines, once=True)
     for name in REQUIRED:
         if name not in h:
             raise BadRecord(f"no {name}")
+    if not DATE.fullmatch(h["warc-date"]):
+        raise BadRecord(f"not a date: {h['warc-date'][:40]!r}")
     length = _number(h["content-length"], "content-length")
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise BadRecord(f"content-length {length} against {max(0, len(rest) - 4)} bytes")
@@ -138,6 +151,21 @@ def frame_end(data: bytes, at: int) -> int:
     return at
 
 
+def unpack(reader: zstandard.ZstdDecompressor, frame: bytes, most: int = MOST_RECORD_BYTES) -> bytes:
+    """What a frame holds, unpacked piece by piece and never beyond ``most`` bytes."""
+    told = zstandard.frame_content_size(frame)
+    if told > most:
+        raise BadRecord(f"a record of {told} bytes")
+    parts, size = [], 0
+    with reader.stream_reader(frame) as stream:
+        while part := stream.read(1 << 20):
+            size += len(part)
+            if size > most:
+                raise BadRecord(f"a record of more than {most} bytes")
+            parts.append(part)
+    return b"".join(parts)
+
+
 def records(data: bytes) -> Iterator[bytes | BadRecord]:
     """The records of one archive, a frame each; a frame that cannot be read ends it with the fault."""
     at, dictionary = 0, None
@@ -148,7 +176,7 @@ def records(data: bytes) -> Iterator[bytes | BadRecord]:
             if len(own) != size:
                 raise BadRecord("the dictionary is cut off")
             if own[:4] == FRAME_MAGIC:
-                own = zstandard.ZstdDecompressor().decompressobj().decompress(own)
+                own = unpack(zstandard.ZstdDecompressor(), own)
             dictionary, at = zstandard.ZstdCompressionDict(own), 8 + size
         reader = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
         while at < len(data):
@@ -158,7 +186,7 @@ def records(data: bytes) -> Iterator[bytes | BadRecord]:
                 at += 8 + struct.unpack_from("<I", data, at + 4)[0]
                 continue
             end = frame_end(data, at)
-            yield reader.decompressobj().decompress(data[at:end])
+            yield unpack(reader, data[at:end])
             at = end
     except (BadRecord, zstandard.ZstdError, struct.error) as fault:
         yield fault if isinstance(fault, BadRecord) else BadRecord(str(fault))
@@ -178,11 +206,11 @@ def train(payloads: list[bytes]) -> bytes | None:
 def revisits(pages: DataFrame, id_col: str, payload_col: str, first: str, least_bytes: int) -> DataFrame:
     """Adds ``first``: for payloads held by several rows, the largest id that holds them (else null).
 
-    Payloads of under ``least_bytes`` bytes stay apart.
+    Payloads are equal where their SHA-256 digests are. Those of under ``least_bytes`` bytes stay apart.
     """
-    key, other = column_name(pages, "payload_sha1"), column_name(pages, "payload_sha1_of")
+    key, other = column_name(pages, "payload_hash"), column_name(pages, "payload_hash_of")
     content = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    named = pages.withColumn(key, F.when(F.length(content) >= least_bytes, F.sha1(content)))
+    named = pages.withColumn(key, F.when(F.length(content) >= least_bytes, F.unhex(F.sha2(content, 256))))
     groups = named.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(other)).agg(F.max(id_col).alias(first), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     groups = materialize(groups, "warc-groups")
     # proven by counting; otherwise a join that adaptive execution splits
@@ -199,7 +227,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     responses.) Null payloads are empty ones. Null ids count as smaller than others; their records
     are named "null". Null and empty addresses become the record's name. Other columns are not
     written. An empty table makes no archive. Each task writes archives of about ARCHIVE_BYTES,
-    each with its own dictionary, trained on its leading payloads where there are enough.
+    each with its own dictionary, trained on its leading payloads where there are enough. A record
+    is held whole, so a payload must fit into a task's memory a few times over.
     """
     first = column_name(pages, "first_id")
     rows = revisits(pages, id_col, payload_col, first, least_revisit_bytes)
@@ -253,7 +282,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             yield pack()
 
     frames = rows.mapInArrow(write, "roll int, seq bigint, frame binary").sortWithinPartitions("roll", "seq")
-    frames.select("roll", F.col("frame").cast("string").alias("value")).write.partitionBy("roll").option("lineSep", EMPTY_FRAME.decode("latin-1")).text(path)
+    frames.select("roll", F.col("frame").cast("string").alias("value")).write.partitionBy("roll").option("lineSep", EMPTY_FRAME.decode("latin-1")).option("maxRecordsPerFile", 0).text(path)
     return path
 
 
@@ -264,6 +293,9 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True, strict:
     refers_to string, payload binary, error string). payload_bytes and payload_digest are those of
     the full payload, for revisits as their headers tell. A revisit's payload is null. A record
     that fails a check raises an error, or with ``strict`` false becomes a row with only ``error``.
+    An archive is read as one row: it must be smaller than 2 GB and fit into a task's memory, as those
+    that write_archives makes do. A record that unpacks to more than MOST_RECORD_BYTES fails. Records
+    of equal names are records like others; an empty folder gives no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
 
