@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding of whole texts by overlapping chunks.
 
 A text is cut into chunks that overlap. Each chunk is pre-tokenised alone, in parallel for long
-texts; neighbours are stitched at the first boundary both of them have in the overlap (from there
-on the pattern, which never looks back, must cut alike); then the pre-tokens are encoded one by
-one. Decoding concatenates the raw bytes of the ids.
+texts, and its pre-tokens are encoded there; neighbours are stitched at the first boundary both of
+them have in the overlap (from there on the pattern, which never looks back, must cut alike). Only
+pre-tokens that no chunk holds are encoded after stitching. Decoding concatenates the raw bytes of the
+ids.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import base64
 from bisect import bisect_left
 
+import numpy as np
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -38,7 +40,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_TOKENS:
             self.clear()
-        ids = b"".join(i.to_bytes(4, "little") for i in self.encoding._encode_single_piece(piece))
+        ids = np.array(self.encoding.encode_ordinary(piece), "<u4").tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -56,7 +58,8 @@ class Engine:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
         self.pattern = regex.compile(pattern)
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # a pre-token is not taken apart again: the library's own pattern takes all it is given
+        self.encoding = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.pieces = _Pieces(self.encoding)
         self.tokens = {rank: token for token, rank in ranks.items()}
 
@@ -90,26 +93,45 @@ def boundaries(pattern: regex.Pattern, start: int, piece: str, last: bool) -> li
     return out
 
 
-def stitch(pattern: regex.Pattern, text: str, starts: list[int], ends: list[list[int]]) -> list[int]:
-    """Ends of the whole text's pre-tokens from those of its chunks.
+def stitch(pattern: regex.Pattern, text: str, starts: list[int], ends: list[list[int]]) -> list[tuple[int, int, int]]:
+    """The whole text's pre-tokens from those of its chunks, as runs (chunk, first, last) of a chunk's pre-tokens.
 
     Where two chunks share no certain boundary in their overlap (a word longer than it), the
-    pattern runs on from the last certain boundary until it meets one of the later chunk.
+    pattern runs on from the last certain boundary until it meets one of the later chunk; such a
+    pre-token is a run (-1, begin, end) of the text's places.
     """
-    out = ends[0]
-    for start, own in zip(starts[1:], ends[1:]):
+    out = [(0, 0, len(ends[0]))]
+    at, place = 0, ends[0][-1] if ends[0] else 0  # the chunk that leads, and how far its pre-tokens reach
+    for k in range(1, len(starts)):
+        start, own = starts[k], ends[k]
         known = set(own) | {start}
-        at = next((i for i in range(bisect_left(out, start), len(out)) if out[i] in known), None)
-        if at is None:
-            for m in pattern.finditer(text, out[-1] if out else 0):
-                out.append(m.end())
-                if m.end() in known and m.end() >= start:
+        if out and out[-1][0] == at and at >= 0:
+            chunk, first, last = out.pop()
+            reached = ends[chunk]
+            meet = next((i for i in range(bisect_left(reached, start, first, last), last) if reached[i] in known), None)
+            out.append((chunk, first, last if meet is None else meet + 1))
+            met = meet is not None
+            place = reached[meet] if met else place
+        else:
+            met = place in known and place >= start
+        if not met:
+            for m in pattern.finditer(text, place):
+                out.append((-1, place, m.end()))
+                place = m.end()
+                if place in known and place >= start:
+                    met = True
                     break
+        if met:
+            out.append((k, bisect_left(own, place + 1), len(own)))
+            at, place = k, own[-1] if own and own[-1] > place else place
         else:
-            del out[at + 1:]
-        if out and out[-1] in known:
-            out.extend(own[bisect_left(own, out[-1] + 1):])
-    return out
+            at = -1
+    return [run for run in out if run[1] < run[2]]
+
+
+def stitched_ends(runs: list[tuple[int, int, int]], ends: list[list[int]]) -> list[int]:
+    """Where the pre-tokens of the runs end."""
+    return [e for chunk, first, last in runs for e in ([last] if chunk < 0 else ends[chunk][first:last])]
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None,
@@ -120,8 +142,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     of that name. One row for each input row. Null and empty texts have no ids. Null and repeated ids stay as
     they are; other columns are not read, whatever their names. Texts up to ``chunk`` code points
     are encoded where they lie, without a shuffle. Chunks of longer ones are dealt over all tasks
-    to be pre-tokenised and meet again in their document's group, which is as large as that one
-    row was. ``ranks_path`` must be readable on every executor (None: the installed public file).
+    to be pre-tokenised and encoded and meet again in their document's group, which is as large as
+    that one row and its ids. An empty table gives an empty one. ``ranks_path`` must be readable on every executor (None: the installed public file).
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
@@ -149,7 +171,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
 
         def run(key, name, n, of, start, piece):
             ends = boundaries(engine.pattern, start, piece, n == of - 1)
-            yield key, name, n, start, piece[:chunk] if n < of - 1 else piece, ends
+            parts = [engine.pieces[piece[a - start:b - start]] for a, b in zip([start, *ends], ends)]
+            upto = np.cumsum([0, *map(len, parts)]).tolist()
+            yield key, name, n, start, piece[:chunk] if n < of - 1 else piece, ends, b"".join(parts), upto
 
         return run
 
@@ -157,13 +181,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
         import pyarrow as pa
 
         engine = Engine.get(ranks_path, pattern)
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("n", "start", "piece", "ends", "id"))), key=lambda r: r[0])
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("n", "start", "piece", "ends", "ids", "upto", "id"))), key=lambda r: r[0])
         copies = sum(r[0] == 0 for r in rows)
         once = rows[::copies]
         text = "".join(r[2] for r in once)
-        ends = stitch(engine.pattern, text, [r[1] for r in once], [r[3] for r in once])
-        ids = engine.encode_pieces([text[a:b] for a, b in zip([0, *ends], ends)])
-        columns = {"id": pa.array([rows[0][4]] * copies, table.schema.field("id").type), "n_tokens": pa.array([len(ids) // 4] * copies, pa.int64()), "ids": pa.array([ids] * copies, pa.binary())}
+        runs = stitch(engine.pattern, text, [r[1] for r in once], [r[3] for r in once])
+        ids = b"".join(engine.encode_pieces([text[first:last]]) if k < 0 else once[k][4][once[k][5][first]:once[k][5][last]] for k, first, last in runs)
+        columns = {"id": pa.array([rows[0][6]] * copies, table.schema.field("id").type), "n_tokens": pa.array([len(ids) // 4] * copies, pa.int64()), "ids": pa.array([ids] * copies, pa.binary())}
         if decoded:
             columns["decoded"] = pa.array([engine.decode(ids)] * copies, pa.binary())
         return pa.table(columns)
@@ -172,7 +196,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     # a name by content: rows that are alike share a group and are counted there
     long = base.where(F.length("text") > chunk).select("id", F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":"), F.sha2("text", 256)).alias("name"), "text")
     dealt = arrow_map(long, chunks, f"id {kind}, name string, n int, of int, start bigint, piece string").repartition("name", "n")
-    ends = arrow_map(dealt, pretokens, f"id {kind}, name string, n int, start bigint, piece string, ends array<bigint>")
+    ends = arrow_map(dealt, pretokens, f"id {kind}, name string, n int, start bigint, piece string, ends array<bigint>, ids binary, upto array<bigint>")
     both = short.unionByName(ends.groupBy("name").applyInArrow(join, out))
     return both.withColumnRenamed("id", id_col)
 

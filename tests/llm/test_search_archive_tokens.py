@@ -92,7 +92,8 @@ def test_bad_records_are_found():
     good = warc.format_record("urn:page:1", "http://x", b"body", None, "2020-01-01T00:00:00Z")
     assert warc.parse_record(good)[7] == b"body"
     for bad in (good[:-1], good.replace(b"WARC/1.1", b"HTTP/1.1"), good.replace(b"Content-Length: 4", b"Content-Length: 5"), good.replace(b"body", b"bode"),
-                good.replace(b"WARC-Date", b"WARC-Dote"), good.replace(b"WARC-Type: response", b"WARC-Type: revisit"), good + b"x", b""):
+                good.replace(b"WARC-Date", b"WARC-Dote"), good.replace(b"2020-01-01T", b"2020-1-1T"), good.replace(b"WARC-Date", b"WARC-Type: response\r\nWARC-Date"),
+                good.replace(b"Content-Length: 4", b"Content-Length: 5\r\nContent-Length: 4"), good.replace(b"WARC-Type: response", b"WARC-Type: revisit"), good + b"x", b""):
         with pytest.raises(warc.BadRecord):
             warc.parse_record(bad)
     frame = zstandard.ZstdCompressor().compress(good)
@@ -107,6 +108,26 @@ def test_bad_records_are_found():
     assert isinstance(list(warc.records(warc.DICTIONARY_MAGIC + b"\xff\xff\xff\x7fabc"))[0], warc.BadRecord)
 
 
+def test_records_are_unpacked_up_to_a_bound():
+    reader = zstandard.ZstdDecompressor()
+    for told in (True, False):
+        frame = zstandard.ZstdCompressor(write_content_size=told).compress(b"\0" * (5 << 20))
+        assert len(frame) < 10_000 and warc.unpack(reader, frame, 5 << 20) == b"\0" * (5 << 20)
+        with pytest.raises(warc.BadRecord):
+            warc.unpack(reader, frame, (5 << 20) - 1)
+
+
+def test_archives_hold_long_payloads_and_stay_whole(spark):
+    """Whatever the session says of rows in a file, an archive keeps its dictionary; a payload may be long."""
+    rows = [(i, f"http://h/{i}", f"<html><body>text number {i} and more of it</body></html>" * 40) for i in range(60)] + [(60, "http://long", "0123456789é" * (2 << 20))]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 7)
+    try:
+        out = warc.read_archives(spark, warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1), warc.archive_path(spark)))
+        assert {(r.record_id, bytes(r.payload)) for r in out.collect()} == {(f"urn:page:{k}", h.encode()) for k, _, h in rows}
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
 def test_lenient_reading_reports_faults(spark, tmp_path):
     good = warc.format_record("urn:page:1", "http://x", b"body", None, "2020-01-01T00:00:00Z")
     (tmp_path / "a").mkdir()
@@ -147,4 +168,5 @@ def test_stitching_equals_one_pass(text, chunk, overlap):
     pattern = bpe.Engine.get(None, None).pattern
     parts = bpe.cut(text, chunk, overlap)
     ends = [bpe.boundaries(pattern, s, p, n == len(parts) - 1) for n, (s, p) in enumerate(parts)]
-    assert bpe.stitch(pattern, text, [s for s, _ in parts], ends) == [m.end() for m in pattern.finditer(text)]
+    runs = bpe.stitch(pattern, text, [s for s, _ in parts], ends)
+    assert bpe.stitched_ends(runs, ends) == [m.end() for m in pattern.finditer(text)]
