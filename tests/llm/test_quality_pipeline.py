@@ -1,3 +1,5 @@
+import math
+import string
 import zlib
 from collections import Counter
 
@@ -25,6 +27,49 @@ def test_quality_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in own)
 
 
+def plain_score(model, text):
+    """The model's score of one text, feature by feature and passage by passage."""
+    kinds = [(string.ascii_lowercase, 0), (string.ascii_uppercase, 1), (string.digits, 2), (" ", 3), ("\n\r", 4), (".,;:", 5), ("!?", 6), ("'\"`", 7), ("()[]{}<>", 8), ("#$%&*@^~", 9), ("|\\/_+=-", 10)]
+    kind = lambda b: 11 if 0x80 <= b < 0xC0 else 12 if b >= 0xC0 else next((k for chars, k in kinds if chr(b) in chars), 13)
+    p = {k: np.asarray(v, float) for k, v in model.weights.items()}
+    encoded, gates = [], []
+    data = (text or "").encode()
+    for at in range(0, max(1, len(data)), 512):
+        part = data[at:at + 512]
+        x = [0.0] * (14 + 196)
+        for i, b in enumerate(part):
+            x[kind(b)] += 1
+            if i:
+                x[14 + 14 * kind(part[i - 1]) + kind(b)] += 1
+        words, n = part.split(), max(1, len(part))
+        again = 1 - len(set(words)) / len(words) if words else 0.0
+        x = [math.sqrt(v / n) for v in x] + [math.log1p(n) / math.log1p(512), again, sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words))]
+        h = np.tanh(((np.array(x) - model.mean) / model.scale) @ p["W"] + p["b"])
+        encoded.append(h)
+        gates.append(float((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"]))
+    a = [math.exp(g - max(gates)) for g in gates]
+    z = sum(w * h for w, h in zip(a, encoded)) / sum(a)
+    return 1 / (1 + math.exp(-float(z @ p["c"] + p["d"])))
+
+
+def test_scores_against_a_plain_computation(spark, docs, sf):
+    model = quality.learn(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = quality.score_quality(docs, model).select("doc_id", "text", "score", "predicted").collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert abs(r.score - plain_score(model, r.text)) < 1e-4 and r.predicted == (r.score >= 0.3)
+
+
+def test_query_scores_as_its_model_does(spark, sf):
+    """The query is that model over whole texts: learnt from rows not held out, whatever those held out are labelled."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    taught = labels.where(~quality.held_out(F.col("doc_id")))
+    model = quality.learn(docs, taught)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in QUERIES["op8_quality"](spark, sf).collect():
+        assert abs(r.score - plain_score(model, text[r.doc_id])) < 1e-4
+
+
 def test_scores_depend_on_the_text_alone(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = quality.learn(docs, labels)
