@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 from bisect import bisect_left
+from struct import pack
 
 import numpy as np
 import regex
@@ -40,7 +41,8 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_TOKENS:
             self.clear()
-        ids = np.array(self.encoding.encode_ordinary(piece), "<u4").tobytes()
+        ids = self.encoding.encode_ordinary(piece)
+        ids = pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             self[piece] = ids
         return ids
