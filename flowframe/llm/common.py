@@ -22,11 +22,12 @@ BATCH_BYTES = 4 << 20
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset and the
+    It is what the cluster names in ``spark.checkpoint.dir``, else the folder that the session was
+    given for checkpoints. Only where there is neither and the
     master is local (tests, a single machine) a temporary folder of this machine takes its place;
     on a cluster an unset folder is an error, as executors could not read what others write.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
