@@ -11,7 +11,9 @@ from collections.abc import Awaitable, Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from flowframe.functions import policy
 from flowframe.operators import grouping, joins, positional
 from flowframe.operators.ordering import with_index
 from flowframe.sources import sinks
@@ -30,6 +32,11 @@ class Frame:
     def _with(self, df: DataFrame, order: list[str] | None = None) -> Frame:
         return Frame(df, self.order if order is None else order)
 
+    @property
+    def unordered(self) -> DataFrame:
+        """The rows for what needs no order."""
+        return self.df
+
     # projections, filters, expansion
 
     def map(self, **columns: Expression) -> Frame:
@@ -68,7 +75,11 @@ class Frame:
     def skip(self, n: int) -> Frame:
         return self._with(positional.skip(self.df, self.order, n))
 
-    def chunk(self, size: int = 1000, *aggregates: Column) -> Frame:
+    def chunk(self, size: int | None = None, *aggregates: Column) -> Frame:
+        """Without a size that of the session's chunk strategy, 1000 where none is set."""
+        if size is None:
+            strategy = self.df.sparkSession.conf.get(policy.CHUNK_STRATEGY, "fixed")
+            size = policy.chunk_size(self.count() if strategy != "fixed" else 0, strategy, **policy.driver_memory(self.df.sparkSession))
         return self._with(positional.chunk(self.df, self.order, size, *aggregates), ["chunk"])
 
     batch = chunk
@@ -111,9 +122,31 @@ class Frame:
     def group_by(self, *keys: str) -> grouping.GroupedFrame:
         return grouping.GroupedFrame(self, list(keys))
 
-    def reduce(self, value: Expression, step: Callable[[Column, Column], Column], initial: Column | None = None):
-        """An ordered left fold of the whole frame; ``initial`` (else None) where it is empty."""
-        return grouping.fold(self.df, [], self.order, _column(value), step, initial).first()[0]
+    def reduce(self, value: Expression, step: Callable[[Column, Column], Column], initial: Column | None = None, combine: Callable[[Column, Column], Column] | None = None):
+        """An ordered left fold of the whole frame; ``initial`` (else None) where it is empty.
+
+        Ranges of rows are folded one after the other; with ``combine``, which joins the folds of
+        two neighbouring runs (and a neutral ``initial``), all at once.
+        """
+        if combine is not None:
+            return grouping.fold(self.df, [], self.order, _column(value), step, initial, combine=combine).first()[0]
+        return grouping.fold_in_order(self.df, self.order, _column(value), step, initial)
+
+    # windows over keys
+
+    def ranked(self, *by: Column, keys: list[str] | None = None, kind: str = "row_number", name: str = "rank", tiles: int = 4) -> Frame:
+        """Adds the row's row_number, rank, dense_rank, percent_rank or ntile among those of its keys."""
+        function = F.ntile(tiles) if kind == "ntile" else getattr(F, kind)()
+        return self._with(self.df.withColumn(name, function.over(Window.partitionBy(*(keys or [])).orderBy(*by))))
+
+    def shifted(self, column: str, offset: int = 1, keys: list[str] | None = None, name: str | None = None) -> Frame:
+        """Adds the column's value ``offset`` rows before (after, if negative) in the frame's order, by keys."""
+        over = Window.partitionBy(*(keys or [])).orderBy(*self.order)
+        return self._with(self.df.withColumn(name or f"{column}_shifted", F.lag(column, offset).over(over) if offset >= 0 else F.lead(column, -offset).over(over)))
+
+    def moving(self, aggregate: Column, before: int, after: int = 0, keys: list[str] | None = None, name: str = "moving") -> Frame:
+        """Adds an aggregate over the rows from ``before`` ones back to ``after`` ones ahead, by keys."""
+        return self._with(self.df.withColumn(name, aggregate.over(Window.partitionBy(*(keys or [])).orderBy(*self.order).rowsBetween(-before, after))))
 
     def join(self, other: Frame, on, how: str = "inner") -> Frame:
         return self._with(joins.external_join(self.df, other.df, on, how))
@@ -124,7 +157,7 @@ class Frame:
         return positional.ordered(self.df, self.order)
 
     def count(self) -> int:
-        return self.df.count()
+        return self.unordered.count()
 
     def first(self) -> Row | None:
         rows = self.take(1)._ordered().take(1)
@@ -145,7 +178,7 @@ class Frame:
 
     def foreach_partition(self, fn: Callable[[Iterator[Row]], None]) -> None:
         """On the executors, without an order."""
-        self.df.foreachPartition(fn)
+        self.unordered.foreachPartition(fn)
 
     async def async_foreach(self, fn: Callable[[Row], object | Awaitable]) -> None:
         """In order, each awaited before the next."""
@@ -169,6 +202,35 @@ class Frame:
         sinks.to_parquet(self.df, path, partition_by)
 
 
+class FileFrame(Frame):
+    """Rows of files, numbered only where a verb asks for their order.
+
+    A number that depends on the reader's splits keeps filters from moving below it; without it
+    they reach the scan. ``unordered`` are the same rows without numbers.
+    """
+
+    def __init__(self, plain: DataFrame, numbered: DataFrame, order: list[str]):
+        super().__init__(numbered, order)
+        self.plain = plain
+
+    @property
+    def unordered(self) -> DataFrame:
+        return self.plain
+
+    def map(self, **columns: Expression) -> Frame:
+        return FileFrame(self.plain.select(*[_column(e).alias(n) for n, e in columns.items()]), super().map(**columns).df, self.order)
+
+    def with_columns(self, **columns: Expression) -> Frame:
+        return FileFrame(self.plain.withColumns({n: _column(e) for n, e in columns.items()}), super().with_columns(**columns).df, self.order)
+
+    def filter(self, predicate: Expression) -> Frame:
+        return FileFrame(self.plain.where(predicate), self.df.where(predicate), self.order)
+
+    def to_parquet(self, path: str, partition_by: list[str] | None = None) -> None:
+        """Without the numbers, which hold for one reading only."""
+        sinks.to_parquet(self.plain, path, partition_by)
+
+
 class SortedFrame(Frame):
     """A frame ordered by keys in one direction, ties by the order it had before."""
 

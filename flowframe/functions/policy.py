@@ -14,6 +14,17 @@ LEAST_INTERVAL = 100
 HIERARCHY = (("L1", 32 << 10), ("L2", 256 << 10), ("L3", 8 << 20), ("RAM", 1 << 30))
 
 
+#: Settings of a session that the engine reads; EngineConfig.apply sets them.
+CHUNK_STRATEGY, MEMORY_LIMIT = "flowframe.chunk.strategy", "flowframe.memory.limit"
+
+
+def driver_memory(spark: SparkSession) -> dict[str, float]:
+    """free_bytes and percent_used of the driver's heap, for chunk_size."""
+    run = spark._jvm.java.lang.Runtime.getRuntime()
+    most, used = run.maxMemory(), run.totalMemory() - run.freeMemory()
+    return {"free_bytes": most - used, "percent_used": 100.0 * used / most}
+
+
 def chunk_size(n: int, strategy: str = "sqrt_n", free_bytes: int = 0, percent_used: float = 0.0) -> int:
     """Rows of a chunk for n rows: sqrt_n, memory_based, fixed or adaptive."""
     root = min(MOST_CHUNK, max(LEAST_CHUNK, isqrt(max(0, n))))

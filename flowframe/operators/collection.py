@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -82,6 +85,61 @@ class ArrayView:
     def count_of(self, predicate: Column) -> int:
         return self.df.where(predicate).count()
 
+    def contains(self, predicate: Column) -> bool:
+        return not self.df.where(predicate).isEmpty()
+
+    def pop(self, i: int = -1) -> tuple[Row, ArrayView]:
+        """The row at i (IndexError if there is none), and the view without it."""
+        row = self.get(i)
+        return row, self.delete(row["idx"])
+
+    def remove(self, predicate: Column) -> ArrayView:
+        """Without the first row that meets the predicate; ValueError if none does."""
+        at = self.index_of(predicate)
+        if at is None:
+            raise ValueError("no such row")
+        return self.delete(at)
+
+    def clear(self) -> ArrayView:
+        return ArrayView(self.df.limit(0))
+
+    def __iter__(self) -> Iterator[Row]:
+        return self.df.orderBy("idx").toLocalIterator(prefetchPartitions=True)
+
+    def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> ArrayView:
+        """Keeps the rows once they have been worked out; Spark moves what memory does not hold to disk."""
+        self.df.unpersist()
+        self.df.persist(level)
+        return self
+
+    def unpersist(self) -> ArrayView:
+        self.df.unpersist()
+        return self
+
+    def spill_to_disk(self) -> ArrayView:
+        """Keeps the rows on disk alone."""
+        out = self.persist(StorageLevel.DISK_ONLY)
+        self.df.count()
+        return out
+
+    def load_to_memory(self) -> ArrayView:
+        """Keeps the rows in memory alone; what does not fit is worked out again."""
+        out = self.persist(StorageLevel.MEMORY_ONLY)
+        self.df.count()
+        return out
+
+    def memory_usage(self) -> dict[str, int]:
+        """Bytes of the kept rows in memory and on disk over all executors (0 where none are kept), and the planner's estimate."""
+        out = {"memory": 0, "disk": 0, "estimate": int(str(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))}
+        spark = self.df.sparkSession
+        held = spark._jsparkSession.sharedState().cacheManager().lookupCachedData(self.df._jdf)
+        if held.isDefined():
+            name = held.get().cachedRepresentation().cacheBuilder().cachedColumnBuffers().id()
+            for info in spark.sparkContext._jsc.sc().getRDDStorageInfo():
+                if info.id() == name:
+                    out |= {"memory": info.memSize(), "disk": info.diskSize()}
+        return out
+
     def to_list(self) -> list[Row]:
         return self.df.orderBy("idx").collect()
 
@@ -91,13 +149,21 @@ class MapView:
 
     def __init__(self, df: DataFrame, key: str, version: str):
         self.log, self.key, self.version = df, key, version
+        self.hits = self.misses = 0
         rest = [c for c in df.columns if c != key]
         self.df = df.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("row")).select(key, "row.*")
 
     def get(self, key, default=None) -> Row | None:
         rows = self.log.where(F.col(self.key) == key).orderBy(F.desc(self.version)).take(1)
+        self.hits, self.misses = self.hits + bool(rows), self.misses + (not rows)
         return rows[0] if rows else default
 
+    def __getitem__(self, key) -> Row:
+        row = self.get(key)
+        if row is None:
+            raise KeyError(key)
+        return row
+
     def __contains__(self, key) -> bool:
         return not self.log.where(F.col(self.key) == key).isEmpty()
 
@@ -107,18 +173,54 @@ class MapView:
     def upsert(self, rows: DataFrame) -> MapView:
         return MapView(self.log.unionByName(rows), self.key, self.version)
 
+    update = upsert
+
+    def setdefault(self, rows: DataFrame) -> MapView:
+        """Takes in the rows whose keys are not there yet."""
+        return self.upsert(rows.join(self.keys(), self.key, "left_anti").select(*rows.columns))
+
+    def pop(self, key, *default) -> tuple[Row, MapView]:
+        """The key's row and the view without it; KeyError without a default."""
+        row = self.get(key)
+        if row is None:
+            if not default:
+                raise KeyError(key)
+            return default[0], self
+        return row, self._without(key)
+
+    def popitem(self) -> tuple[Row, MapView]:
+        """The row of the latest version and the view without its key; KeyError if there is none."""
+        rows = self.log.orderBy(F.desc(self.version), self.key).take(1)
+        if not rows:
+            raise KeyError("empty")
+        return rows[0], self._without(rows[0][self.key])
+
+    def _without(self, key) -> MapView:
+        return MapView(self.log.where(~F.col(self.key).eqNullSafe(F.lit(key))), self.key, self.version)
+
+    def clear(self) -> MapView:
+        return MapView(self.log.limit(0), self.key, self.version)
+
+    def __iter__(self) -> Iterator:
+        return (row[0] for row in self.keys().toLocalIterator(prefetchPartitions=True))
+
     def remove(self, keys: DataFrame) -> MapView:
         return MapView(self.log.join(keys.select(self.key), self.key, "left_anti").select(*self.log.columns), self.key, self.version)
 
     def keys(self) -> DataFrame:
         return self.log.select(self.key).distinct()
 
+    def values(self) -> DataFrame:
+        return self.df.drop(self.key)
+
     def items(self) -> DataFrame:
         return self.df
 
-    def stats(self) -> dict[str, int]:
+    def stats(self) -> dict[str, float]:
+        """Records and keys, and how many lookups of this view found theirs."""
         n, live = self.log.agg(F.count(F.lit(1)), F.count_distinct(self.key)).first()
-        return {"records": n, "keys": live, "superseded": n - live}
+        asked = self.hits + self.misses
+        return {"records": n, "keys": live, "superseded": n - live, "hits": self.hits, "misses": self.misses, "hit_rate": self.hits / asked if asked else 0.0}
 
     def compact(self) -> DataFrame:
         """The live records alone; write them to replace the log."""

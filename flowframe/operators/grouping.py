@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowframe.operators.ordering import free_name, with_index
+
 
 def collect_groups(df: DataFrame, keys: list[str], order: list[str], name: str = "rows") -> DataFrame:
     """One row a key with its rows as an array, in order. A null key is a group.
@@ -18,18 +21,58 @@ def collect_groups(df: DataFrame, keys: list[str], order: list[str], name: str =
     return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), F.struct(*rest).alias("row")))), lambda x: x["row"]).alias(name))
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], value: Column, step: Callable[[Column, Column], Column], initial: Column | None = None, name: str = "value") -> DataFrame:
+#: Rows of a range that one task folds.
+FOLD_ROWS = 250_000
+
+
+def fold(df: DataFrame, keys: list[str], order: list[str], value: Column, step: Callable[[Column, Column], Column], initial: Column | None = None, name: str = "value",
+         combine: Callable[[Column, Column], Column] | None = None, range_rows: int = FOLD_ROWS) -> DataFrame:
     """A left fold of each key's values in order; without ``initial`` the first value begins it.
 
-    For folds that are neither commutative nor associative; a key's values must fit into a row.
-    Without keys the whole frame is one fold, and gives ``initial`` where it is empty.
+    With ``combine``, which joins the folds of two neighbouring runs, ranges of positions are folded
+    in parallel and then joined in order; ``initial`` begins each of them, so it must be neutral.
+    Without it a key's values must fit into a row: for folds that are neither commutative nor
+    associative. Without keys the whole frame is one fold, and gives ``initial`` where it is empty.
     """
+    if combine is not None:
+        at, part = free_name(df, "fold_at"), free_name(df, "fold_part")
+        rows = with_index(df.withColumn(part, value), order, at).withColumn(at, F.expr(f"cast({at} div {range_rows} as bigint)"))
+        parts = fold(rows, [*keys, at], order, F.col(part), step, initial, part)
+        return fold(parts, keys, [at], F.col(part), combine, initial, name)
     items = F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), value.alias("v")))), lambda x: x["v"])
     grouped = (df.groupBy(*keys) if keys else df).agg(items.alias("items"))
+    return grouped.select(*keys, _folded(F.col("items"), step, initial).alias(name))
+
+
+def _folded(items: Column, step: Callable[[Column, Column], Column], initial: Column | None) -> Column:
     if initial is not None:
-        return grouped.select(*keys, F.aggregate("items", initial, step).alias(name))
-    rest = F.slice("items", F.lit(2), F.greatest(F.size("items") - 1, F.lit(0)))
-    return grouped.select(*keys, F.when(F.size("items") > 0, F.aggregate(rest, F.get("items", F.lit(0)), step)).alias(name))
+        return F.aggregate(items, initial, lambda acc, x: step(acc, x))
+    rest = F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
+    return F.when(F.size(items) > 0, F.aggregate(rest, F.get(items, F.lit(0)), lambda acc, x: step(acc, x)))
+
+
+def fold_in_order(df: DataFrame, order: list[str], value: Column, step: Callable[[Column, Column], Column], initial: Column | None = None, range_rows: int = FOLD_ROWS):
+    """The left fold of a whole frame of any size, range after range; None or ``initial`` where it is empty.
+
+    Each range is one task's array; its result begins the next one, as the fold demands. A fold
+    whose parts can be joined runs in parallel with ``combine`` of fold().
+    """
+    value_at, at = free_name(df, "fold_value"), free_name(df, "fold_at")
+    rows = df.select(*order, value.alias(value_at))
+    kind = rows.schema[value_at].dataType if initial is None else df.select(initial.alias("x")).schema["x"].dataType
+    placed = with_index(rows, order, at)
+    items = F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value_at).alias("v")))), lambda x: x["v"])
+    ranges = placed.groupBy(F.expr(f"cast({at} div {range_rows} as bigint)").alias("part")).agg(items.alias("items")).persist(StorageLevel.DISK_ONLY)
+    state, seen = initial, False
+    try:
+        for part in range(ranges.count()):
+            found = ranges.where(F.col("part") == part).select(_folded(F.col("items"), step, state).cast(kind).alias("x")).first()[0]
+            state, seen = F.lit(found).cast(kind), True
+        if seen or initial is None:
+            return found if seen else None
+        return df.sparkSession.range(1).select(initial.alias("x")).first()[0]
+    finally:
+        ranges.unpersist()
 
 
 def best_of_group(df: DataFrame, keys: list[str], by: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -52,7 +95,7 @@ class GroupedFrame:
     def _agg(self, *columns: Column):
         from flowframe.frame import Frame
 
-        return Frame(self.frame.df.groupBy(*self.keys).agg(*columns), self.keys)
+        return Frame(self.frame.unordered.groupBy(*self.keys).agg(*columns), self.keys)
 
     def count(self, name: str = "count"):
         return self._agg(F.count(F.lit(1)).alias(name))
@@ -67,6 +110,14 @@ class GroupedFrame:
     def max(self, column: str, name: str = "max"):
         return self._agg(F.max(column).alias(name))
 
+    def approx_distinct(self, column: str, name: str = "approx_distinct", error: float = 0.05):
+        """Distinct values by a sketch of fixed size, within about the relative error."""
+        return self._agg(F.approx_count_distinct(column, error).alias(name))
+
+    def approx_quantiles(self, column: str, quantiles: list[float], name: str = "quantiles", accuracy: int = 10_000):
+        """Values whose ranks are within 1 / accuracy of the quantiles', by a sketch."""
+        return self._agg(F.percentile_approx(column, quantiles, accuracy).alias(name))
+
     def min(self, column: str, name: str = "min"):
         return self._agg(F.min(column).alias(name))
 
@@ -78,10 +129,10 @@ class GroupedFrame:
 
         return Frame(collect_groups(self.frame.df, self.keys, self.frame.order, name), self.keys)
 
-    def fold(self, value: Column, step: Callable[[Column, Column], Column], initial: Column | None = None, name: str = "value"):
+    def fold(self, value: Column, step: Callable[[Column, Column], Column], initial: Column | None = None, name: str = "value", combine: Callable[[Column, Column], Column] | None = None):
         from flowframe.frame import Frame
 
-        return Frame(fold(self.frame.df, self.keys, self.frame.order, value, step, initial, name), self.keys)
+        return Frame(fold(self.frame.df, self.keys, self.frame.order, value, step, initial, name, combine), self.keys)
 
     def top(self, k: int, *by: Column, rank: str = "rank"):
         from flowframe.frame import Frame

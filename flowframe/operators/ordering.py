@@ -9,9 +9,10 @@ from pyspark.sql.window import Window
 #: Up to this many rows one sorted task is cheaper than two passes.
 ONE_TASK_ROWS = 200_000
 BUCKET_ROWS = 250_000
-MOST_BUCKETS = 512
-#: Keys sampled to place the bucket bounds; the sample touches balance only, never the result.
-SAMPLE_ROWS = 20_000
+#: Bounds of one level. Ranges are found in two levels, so there are at most MOST_BOUNDS ** 2 of them.
+MOST_BOUNDS = 512
+#: Keys sampled to place the bounds, for the first level and for each range of the second; they touch balance only, never the result.
+SAMPLE_ROWS, RANGE_SAMPLES = 20_000, 20
 
 
 def free_name(df: DataFrame, stem: str) -> str:
@@ -32,20 +33,39 @@ def with_index(df: DataFrame, order: list[str], name: str = "idx", one_task_rows
     key = [F.col(c).asc_nulls_first() for c in order]
     if n <= one_task_rows:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*key)).cast("bigint") - 1)
-    buckets = min(MOST_BUCKETS, -(-n // bucket_rows))
-    sample = df.select(F.struct(*order).alias("k")).sample(min(1.0, SAMPLE_ROWS / n), seed=1).limit(2 * SAMPLE_ROWS)
-    # at most 2 * SAMPLE_ROWS keys come to one task, at most MOST_BUCKETS to the driver
-    rank = F.ntile(buckets).over(Window.orderBy("k"))
-    bounds = sample.select("k", rank.alias("b")).groupBy("b").agg(F.min("k").alias("k")).where("b > 1")
-    kinds = df.select(*order).schema
-    literal = lambda row: F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kinds)))
-    rows = sorted(bounds.collect(), key=lambda r: r.b)
     bucket, shift, of = (free_name(df, c) for c in ("bucket", "shift", "bucket_of"))
-    own = F.size(F.filter(F.array(*(literal(r.k) for r in rows)), lambda b: b <= F.struct(*order))) if rows else F.lit(0)
-    dealt = df.withColumn(bucket, own)
+    dealt = _in_ranges(df, order, n, max(1, -(-n // bucket_rows)), bucket)
     counts = dealt.groupBy(F.col(bucket).alias(of)).agg(F.count(F.lit(1)).alias(shift))
-    # one row a range, MOST_BUCKETS at most
+    # one row a range, MOST_BOUNDS ** 2 at most
     before = counts.select(of, F.coalesce(F.sum(shift).over(Window.orderBy(of).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(shift))
     inside = F.row_number().over(Window.partitionBy(bucket).orderBy(*key)).cast("bigint") - 1
     placed = dealt.withColumn(name, inside).join(F.broadcast(before), F.col(bucket) == F.col(of))
     return placed.withColumn(name, F.col(name) + F.col(shift)).drop(bucket, of, shift)
+
+
+def _in_ranges(df: DataFrame, order: list[str], n: int, buckets: int, bucket: str) -> DataFrame:
+    """Adds ``bucket``: the number of the row's key range; larger keys have no smaller numbers."""
+    at = F.struct(*order)
+    kinds = df.select(*order).schema
+
+    def sample(rows: int) -> DataFrame:
+        """Keys by their hash: the same ones whenever the plan is evaluated."""
+        return df.where(F.pmod(F.xxhash64(*order), F.lit(max(1, n // rows))) == 0).select(at.alias("k"))
+
+    coarse = min(MOST_BOUNDS, buckets)
+    # at most 2 * SAMPLE_ROWS keys come to one task, at most MOST_BOUNDS to the driver
+    cut = sample(SAMPLE_ROWS).limit(2 * SAMPLE_ROWS).select("k", F.ntile(coarse).over(Window.orderBy("k")).alias("b"))
+    rows = sorted(cut.groupBy("b").agg(F.min("k").alias("k")).where("b > 1").collect(), key=lambda r: r.b)
+    literal = lambda row: F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kinds)))
+    own = lambda k: F.size(F.filter(F.array(*(literal(r.k) for r in rows)), lambda b: b <= k)) if rows else F.lit(0)
+    if buckets <= MOST_BOUNDS:
+        return df.withColumn(bucket, own(at))
+    # second level: the bounds inside each of the first level's ranges, as one array a range
+    fine = min(MOST_BOUNDS, -(-buckets // coarse))
+    inner = sample(RANGE_SAMPLES * buckets).select("k", own(F.col("k")).alias("c"))
+    inner = inner.select("c", "k", F.ntile(fine).over(Window.partitionBy("c").orderBy("k")).alias("b")).groupBy("c", "b").agg(F.min("k").alias("k")).where("b > 1")
+    c, bounds = free_name(df, "range_of"), free_name(df, "range_bounds")
+    table = inner.groupBy(F.col("c").alias(c)).agg(F.array_sort(F.collect_list("k")).alias(bounds))  # MOST_BOUNDS rows of MOST_BOUNDS keys at most
+    joined = df.withColumn(bucket, own(at)).join(F.broadcast(table), F.col(bucket) == F.col(c), "left")
+    below = F.coalesce(F.size(F.filter(bounds, lambda b: b <= at)), F.lit(0))
+    return joined.withColumn(bucket, F.col(bucket) * fine + F.greatest(below, F.lit(0))).drop(c, bounds)

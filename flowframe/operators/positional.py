@@ -31,19 +31,29 @@ def chunk(df: DataFrame, order: list[str], size: int = 1000, *aggregates: Column
     return rows.groupBy("chunk").agg(*content)
 
 
+#: Windows that begin in so many positions are made in one place.
+WINDOW_RANGE = 65_536
+
+
 def window(df: DataFrame, order: list[str], size: int, slide: int = 1, *aggregates: Column) -> DataFrame:
     """Sliding windows of ``size`` rows, full ones only; windows begin every min(slide, size) rows.
 
-    A row is dealt to each window it belongs to, so windows are grouped in parallel; with
-    aggregates they are combined before the shuffle.
+    Rows are dealt to ranges of positions, with the size - 1 rows after a range once more, so a row
+    is shuffled twice at most whatever the size; only inside a range it is dealt to its windows.
     """
     if size < 1 or slide < 1:
         raise ValueError("size and slide must be positive")
     step = min(slide, size)
-    first = F.greatest(F.lit(0), F.ceil((F.col("idx") - (size - 1)) / step))
-    rows = with_index(df, order).select("*", F.explode(F.sequence(first.cast("bigint"), F.expr(f"cast(idx div {step} as bigint)"))).alias("window"))
+    span = step * -(-max(WINDOW_RANGE, size) // step)
+    own, idx = F.expr(f"cast(idx div {span} as bigint)"), F.col("idx")
+    also = (own > 0) & (idx < own * span - step + size)
+    dealt = with_index(df, order).select("*", F.explode(F.when(also, F.array(own - 1, own)).otherwise(F.array(own))).alias("range")).repartition("range")
+    first = F.greatest(F.col("range") * (span // step), F.ceil((idx - (size - 1)) / step).cast("bigint"))
+    last = F.least((F.col("range") + 1) * (span // step) - 1, F.expr(f"cast(idx div {step} as bigint)"))
+    rows = dealt.select("*", F.explode(F.sequence(first, last)).alias("window"))
     content = aggregates or (_rows(df),)
-    return rows.groupBy("window").agg(F.count(F.lit(1)).alias("n_in_window"), *content).where(F.col("n_in_window") == size).drop("n_in_window")
+    # rows of a range lie together already: no shuffle here
+    return rows.groupBy("range", "window").agg(F.count(F.lit(1)).alias("n_in_window"), *content).where(F.col("n_in_window") == size).drop("n_in_window", "range")
 
 
 def _rows(df: DataFrame) -> Column:

@@ -70,6 +70,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT event_type, list_reduce(list(CAST(floor(value) AS BIGINT) ORDER BY event_id), lambda acc, x: acc - x) AS folded
         FROM events GROUP BY event_type""",
     "reduce_total": "SELECT list_reduce(list_prepend(CAST(1 AS BIGINT), list(CAST(n_nationkey AS BIGINT) ORDER BY n_nationkey)), lambda acc, x: acc * 2 + x) AS folded FROM nation",
+    "reduce_ranges": """
+        WITH q AS (SELECT CAST(trunc(l_quantity) AS BIGINT) AS v, row_number() OVER w AS i, count(*) OVER () AS n, lag(CAST(trunc(l_quantity) AS BIGINT)) OVER w AS before
+                   FROM lineitem WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey))
+        SELECT max(v) FILTER (i = 1) AS first, max(v) FILTER (i = n) AS last, CAST(coalesce(sum(abs(v - before)), 0) AS BIGINT) AS moved FROM q""",
     "row_count": "SELECT count(*) AS n FROM lineitem",
     "composite_key_group": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2",
     "accuracy": """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import functools
 import json
 import time
@@ -114,6 +115,82 @@ class CheckpointManager:
         return {"count": len(snaps), "seconds": spent, "overhead_percent": 100 * spent / span if span > 0 else 0.0}
 
 
+def recovery_text(manager: CheckpointManager, job: str) -> str:
+    """How to go on with a job, as lines to read and to run."""
+    found = manager.list(job)
+    if not found:
+        return f"job {job!r} has no snapshot under {manager.folder}: start it anew"
+    snap = found[-1][0]
+    return "\n".join((
+        f"# job {job!r}: {len(found)} snapshots, the last after iteration {snap.iteration} ({snap.reason})",
+        f"manager = CheckpointManager(spark, {manager.folder!r})",
+        f"snapshot, state = manager.restore({job!r})",
+        "# go on with iteration snapshot.iteration; functions made by resumable() and auto_checkpoint() do so by themselves"))
+
+
+def auto_checkpoint(manager: CheckpointManager, job: str, policy: CheckpointPolicy | None = None):
+    """A decorator for generator functions ``fn(..., resume=None)`` that yield states.
+
+    Each yielded state (a dictionary or a frame) is passed on; the policy decides which are saved.
+    A run that begins with snapshots of its job there is given ``resume``, the latest one's
+    (snapshot, state), and counts on from it. The snapshots go when the generator ends by itself.
+    """
+
+    def wrap(fn: Callable) -> Callable:
+        @functools.wraps(fn)
+        def run(*args, **kwargs):
+            own, found = policy or CheckpointPolicy(), manager.restore(job)
+            at = found[0].iteration if found else 0
+            own.saved(at)
+            for at, state in enumerate(fn(*args, **kwargs, resume=found), at + 1):
+                if why := own.reason(at):
+                    manager.save(job, state, at, why)
+                    own.saved(at)
+                yield state
+            manager.delete(job)
+
+        return run
+
+    return wrap
+
+
+def checkpoint_method(attributes: list[str], manager: str = "checkpoints", policy: CheckpointPolicy | None = None):
+    """A decorator for methods that are called again and again: it saves the named attributes of the object.
+
+    The object holds its CheckpointManager in the attribute ``manager`` and may name its job in
+    ``job``. The policy counts the calls; restore_attributes() puts the latest snapshot back.
+    """
+
+    def wrap(fn: Callable) -> Callable:
+        @functools.wraps(fn)
+        def run(self, *args, **kwargs):
+            own = self.__dict__.setdefault("_checkpoint_policy", policy and copy.copy(policy) or CheckpointPolicy())
+            result = fn(self, *args, **kwargs)
+            calls = self.__dict__["_checkpoint_calls"] = self.__dict__.get("_checkpoint_calls", 0) + 1
+            if why := own.reason(calls):
+                getattr(self, manager).save(_job_of(self), {name: getattr(self, name) for name in attributes}, calls, why)
+                own.saved(calls)
+            return result
+
+        return run
+
+    return wrap
+
+
+def _job_of(owner: object) -> str:
+    return getattr(owner, "job", type(owner).__name__)
+
+
+def restore_attributes(owner: object, manager: CheckpointManager) -> int:
+    """Sets an object's attributes from its latest snapshot; the calls made up to it, 0 if there is none."""
+    found = manager.restore(_job_of(owner))
+    if not found:
+        return 0
+    snap, state = found
+    vars(owner).update(state, _checkpoint_calls=snap.iteration)
+    return snap.iteration
+
+
 def resumable(manager: CheckpointManager, job: str, policy: CheckpointPolicy | None = None):
     """A decorator for step functions ``fn(state, iteration) -> state``; the run resumes after the last snapshot."""
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowframe.functions.policy import LEVELS, parse_bytes
+from flowframe.functions.policy import LEVELS, MEMORY_LIMIT, parse_bytes
 from flowframe.operators.ordering import free_name, with_index
 
 log = logging.getLogger(__name__)
@@ -45,6 +45,21 @@ def sample(spark: SparkSession, limit: int | None = None) -> MemoryInfo:
     return MemoryInfo(time.time(), run.totalMemory() - run.freeMemory(), min(total, limit) if limit else total)
 
 
+def sample_executors(spark: SparkSession) -> dict[str, MemoryInfo]:
+    """The storage memory of each executor, by its address, as the driver's block manager knows it; the driver is among them."""
+    status = spark.sparkContext._jsc.sc().getExecutorMemoryStatus()
+    held = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(status)
+    now = time.time()
+    return {str(at): MemoryInfo(now, most - left, most) for at in held for most, left in ((int(held[at]._1()), int(held[at]._2())),)}
+
+
+def force_gc(spark: SparkSession) -> int:
+    """Asks the driver's JVM to collect garbage; the bytes that it freed."""
+    before = sample(spark).used
+    spark._jvm.System.gc()
+    return max(0, before - sample(spark).used)
+
+
 def trend(samples: DataFrame, at: str = "at", value: str = "percent") -> DataFrame:
     """(average, maximum, trend): trend is the later half's mean less the earlier half's, 0 under two samples.
 
@@ -59,10 +74,14 @@ def trend(samples: DataFrame, at: str = "at", value: str = "percent") -> DataFra
 
 
 class MemoryMonitor:
-    """Samples memory on request or in the background, keeps 100 samples, and tells handlers of pressure."""
+    """Samples memory on request or in the background, keeps 100 samples, and tells handlers of pressure.
+
+    ``limit`` bounds what counts as the total; without one the session's setting does, if there is any.
+    """
 
     def __init__(self, spark: SparkSession, limit: str | int | None = None, interval: float = 5.0):
         self.spark, self.interval = spark, interval
+        limit = spark.conf.get(MEMORY_LIMIT, None) if limit is None else limit
         self.limit = parse_bytes(limit) if isinstance(limit, str) else limit
         self.history: deque[MemoryInfo] = deque(maxlen=100)
         self.handlers: list[Callable[[str, MemoryInfo], None]] = []
@@ -89,6 +108,19 @@ class MemoryMonitor:
     def can_allocate(self, size: int) -> bool:
         return sample(self.spark, self.limit).available >= size
 
+    def wait_for_memory(self, size: int, timeout: float = 30.0, pause: float = 0.5) -> bool:
+        """Whether so many bytes become available in time; collects garbage and tells handlers meanwhile."""
+        end = time.monotonic() + timeout
+        while not (enough := self.can_allocate(size)) and time.monotonic() < end:
+            force_gc(self.spark)
+            self.check()
+            time.sleep(min(pause, max(0.0, end - time.monotonic())))
+        return enough
+
+    def executor_pressure(self) -> dict[str, str]:
+        """The level of each executor's storage memory."""
+        return {at: info.level for at, info in sample_executors(self.spark).items()}
+
     def trend(self) -> DataFrame:
         rows = [(i.at, i.percent) for i in self.history]
         return trend(self.spark.createDataFrame(rows, "at double, percent double"))

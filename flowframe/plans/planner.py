@@ -12,9 +12,26 @@ from pyspark.sql.window import Window
 
 #: Fixed values of the model: bytes of a parameter, its gradient and its optimiser state; limits' shares for each strategy.
 PARAM_BYTES, GRADIENT_BYTES, OPTIMIZER_BYTES = 4, 4, 8
+#: Fixed value: the side of the image that a convolution's activations are taken over.
+IMAGE_SIDE = 100
 HALF_TYPES = ("Linear", "Conv2d", "Dense", "Conv2D")
 
 
+def shaped_layers(shapes: DataFrame) -> DataFrame:
+    """The layers' table from their shapes: (idx, name, type, inputs, outputs, kernel), all but idx, name and type may be null.
+
+    Dense layers have inputs * outputs weights and a bias an output; convolutions a kernel of
+    kernel * kernel for each pair of channels. Activations of one sample, in bytes: 4 an output of a
+    dense layer, 4 * IMAGE_SIDE ** 2 an output channel of a convolution, 4 a parameter of others.
+    """
+    n = lambda c, least=0: F.coalesce(F.col(c), F.lit(least)).cast("bigint")
+    dense, convolution = F.col("type").isin("Linear", "Dense"), F.col("type").isin("Conv2d", "Conv2D")
+    params = F.when(dense, n("inputs") * n("outputs") + n("outputs")).when(convolution, n("inputs") * n("outputs") * n("kernel", 1) * n("kernel", 1) + n("outputs")).otherwise(n("inputs"))
+    rows = shapes.withColumn("params", params)
+    activation = F.when(dense, n("outputs")).when(convolution, n("outputs") * IMAGE_SIDE * IMAGE_SIDE).otherwise(F.col("params"))
+    return rows.select("idx", "name", "type", "params", (activation * 4).alias("activation_bytes"))
+
+
 def bottlenecks(layers: DataFrame, share: float = 0.2) -> DataFrame:
     """The top share of layers by memory, one at least. Layers are few; they are ranked in one task."""
     memory = F.col("params") * PARAM_BYTES + F.col("activation_bytes")

@@ -340,6 +340,15 @@ def reduce_total(spark, sf):
     return grouping.fold(rows.df, [], rows.order, F.col("n_nationkey").cast("bigint"), lambda acc, x: acc * 2 + x, F.lit(1).cast("bigint"), "folded")
 
 
+@query
+def reduce_ranges(spark, sf):
+    """A fold of all line items whose runs can be joined: the last value and the sum of absolute changes."""
+    rows = frame(spark, sf, "lineitem")
+    value = F.struct(F.col("l_quantity").cast("bigint").alias("first"), F.col("l_quantity").cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("moved"))
+    join = lambda a, b: F.struct(a["first"].alias("first"), b["last"].alias("last"), (a["moved"] + b["moved"] + F.abs(b["first"] - a["last"])).alias("moved"))
+    return grouping.fold(rows.df, [], rows.order, value, join, None, "x", combine=join).select("x.first", "x.last", "x.moved")
+
+
 @query
 def row_count(spark, sf):
     return table(spark, sf, "lineitem").agg(F.count(F.lit(1)).alias("n"))
@@ -671,7 +680,9 @@ def _scratch(spark: SparkSession) -> str:
     """A folder that all machines share: the named checkpoint folder, a local one where none is named."""
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='flowframe-')).rstrip('/')}/io-{uuid.uuid4().hex}"
 
 
@@ -679,7 +690,7 @@ def _scratch(spark: SparkSession) -> str:
 def csv_roundtrip(spark, sf):
     at = _scratch(spark)
     sinks.to_csv(table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice"), at)
-    back = readers.from_csv(spark, at, "p_partkey bigint, p_name string, p_retailprice double").df
+    back = readers.from_csv(spark, at, "p_partkey bigint, p_name string, p_retailprice double", multi_line=False).unordered
     return back.agg(F.count(F.lit(1)).alias("n"), total("p_retailprice").alias("total"), F.max("p_name").alias("last_name"))
 
 
@@ -687,14 +698,14 @@ def csv_roundtrip(spark, sf):
 def jsonl_roundtrip(spark, sf):
     at = _scratch(spark)
     sinks.to_jsonl(table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", "lang", "quality"), at)
-    return readers.from_jsonl(spark, at, "doc_id bigint, lang string, quality int").df.select("doc_id", "lang", "quality")
+    return readers.from_jsonl(spark, at, "doc_id bigint, lang string, quality int").unordered.select("doc_id", "lang", "quality")
 
 
 @query
 def text_lines(spark, sf):
     at = _scratch(spark)
     sinks.to_file(table(spark, sf, "documents").where("lang = 'en'").select(F.explode(F.split("text", "\n")).alias("value")), at)
-    return readers.from_file(spark, at).df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value")).alias("chars"))
+    return readers.from_file(spark, at).unordered.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value")).alias("chars"))
 
 
 @query

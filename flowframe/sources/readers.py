@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowframe.frame import Frame
+from flowframe.frame import FileFrame, Frame
 
 
 def from_iterable(spark: SparkSession, rows: Iterable, schema: T.StructType | str, idx: str = "idx") -> Frame:
@@ -26,12 +26,14 @@ def from_file(spark: SparkSession, path: str) -> Frame:
     return _numbered(spark.read.text(path))
 
 
-def from_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, headers: bool = True, infer: bool = False, **options) -> Frame:
+def from_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, headers: bool = True, infer: bool = False, multi_line: bool = True, **options) -> Frame:
     """CSV with quoted line breaks. Without a schema all columns are strings, or inferred on request.
 
-    Missing and empty unquoted fields are null; rows that are too long lose their surplus.
+    Missing and empty unquoted fields are null; rows that are too long lose their surplus. Where no
+    field holds a line break, ``multi_line`` may be off: then large files are split over tasks, which
+    files with such fields cannot be.
     """
-    reader = spark.read.option("header", headers).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
+    reader = spark.read.option("header", headers).option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE")
     for name, value in options.items():
         reader = reader.option({"delimiter": "sep", "quotechar": "quote", "escapechar": "escape"}.get(name, name), value)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", infer)
@@ -57,6 +59,28 @@ def from_orc(spark: SparkSession, path: str, order: list[str]) -> Frame:
     return Frame(spark.read.orc(path), order)
 
 
+def from_format(spark: SparkSession, name: str, order: list[str], path: str | None = None, schema: T.StructType | str | None = None, **options) -> Frame:
+    """Any source that the session has: Avro, JDBC, Kafka and others, whose packages must be on its class path."""
+    reader = spark.read.format(name).options(**options)
+    return Frame((reader.schema(schema) if schema is not None else reader).load(path), order)
+
+
+def from_jdbc(spark: SparkSession, url: str, table: str, order: list[str], split: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 8, **options) -> Frame:
+    """A table of a database. With ``split``, a numeric column, and its ``bounds`` it is read in ``parts`` tasks; rows outside are read too."""
+    if split is not None:
+        options |= {"partitionColumn": split, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(parts)}
+    return from_format(spark, "jdbc", order, url=url, dbtable=table, **options)
+
+
+def from_avro(spark: SparkSession, path: str, order: list[str], schema: T.StructType | str | None = None) -> Frame:
+    return from_format(spark, "avro", order, path, schema)
+
+
+def from_kafka(spark: SparkSession, servers: str, topic: str, **options) -> Frame:
+    """What a topic holds, as a batch, in the order of partitions and offsets."""
+    return from_format(spark, "kafka", ["partition", "offset"], **{"kafka.bootstrap.servers": servers, "subscribe": topic, **options})
+
+
 def from_query(spark: SparkSession, sql: str, order: list[str], **params) -> Frame:
     return Frame(spark.sql(sql, args=params or None), order)
 
@@ -86,4 +110,4 @@ def from_rows(df: DataFrame, order: list[str]) -> Frame:
 def _numbered(df: DataFrame) -> Frame:
     """Rows by file, block and place in the block: an order that needs no shuffle to be known."""
     placed = df.select("*", F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("row")).alias("line_no"))
-    return Frame(placed, ["line_no"])
+    return FileFrame(df, placed, ["line_no"])

@@ -1,12 +1,18 @@
 import json
 
+import pyarrow as pa
 import pytest
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from flowframe.config import EngineConfig
+from flowframe.frame import Frame
 from flowframe.functions import policy
-from flowframe.plans import memory, profile
-from flowframe.plans.checkpoint import CheckpointManager, CheckpointPolicy, resumable
+from flowframe.operators.collection import ArrayView, MapView
+from flowframe.plans import memory, planner, profile
+from flowframe.plans.checkpoint import CheckpointManager, CheckpointPolicy, auto_checkpoint, checkpoint_method, recovery_text, restore_attributes, resumable
+from flowframe.plans.profile import OperatorMetrics, ProfileContext, QueryProfiler, bottlenecks, profile_memory, profile_time, transitions
+from flowframe.plans.profile import profile as profiled
 from flowframe.streaming import jobs
 
 
@@ -125,3 +131,189 @@ def test_first_of_key_on_a_stream(spark, tmp_path):
     query = jobs.first_of_key(stream, ["k"], "ts", "1 minute").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.k for r in spark.table("firsts").collect()) == [1, 2]
+
+
+def test_settings_take_effect(spark, tmp_path):
+    config = EngineConfig(memory_limit="64MB", chunk_strategy="sqrt_n", compression="lz4", max_partition_bytes="32MB")
+    assert config.session_settings() == {"spark.io.compression.codec": "lz4", "spark.shuffle.compress": "true"}
+    assert EngineConfig(compression="none", checkpoint_dir="/x").session_settings() == {"spark.shuffle.compress": "false", "spark.checkpoint.dir": "/x"}
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.parquet.compression.codec", "spark.sql.files.maxPartitionBytes")}
+    for key in (policy.CHUNK_STRATEGY, policy.MEMORY_LIMIT):
+        spark.conf.unset(key)
+    rows = Frame(spark.range(400).toDF("k"), ["k"])
+    assert rows.chunk().count() == 1
+    try:
+        config.apply(spark)
+        assert spark.conf.get("spark.sql.parquet.compression.codec") == "lz4" and spark.conf.get("spark.sql.files.maxPartitionBytes") == str(32 << 20)
+        assert memory.MemoryMonitor(spark).limit == 64 << 20 and memory.MemoryMonitor(spark, limit=5).limit == 5
+        assert rows.chunk().count() == 20 and rows.chunk(7).count() == 58
+        EngineConfig(chunk_strategy="memory_based").apply(spark)
+        assert rows.chunk().count() == 1 and memory.MemoryMonitor(spark).limit is None
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+        for key in (policy.CHUNK_STRATEGY, policy.MEMORY_LIMIT):
+            spark.conf.unset(key)
+    with pytest.raises(ValueError):
+        EngineConfig(chunk_strategy="guess")
+    with pytest.raises(ValueError):
+        config.with_defaults(colour="red")
+
+
+def test_array_view_verbs(spark):
+    view = ArrayView.of(spark.createDataFrame([(i, i * i % 7) for i in range(10)], "k int, v int"), ["k"])
+    row, rest = view.pop()
+    assert row.k == 9 and len(rest) == 9 and [r.k for r in rest] == list(range(9))
+    row, rest = view.pop(2)
+    assert row.k == 2 and [r.idx for r in rest.to_list()] == list(range(9))
+    assert [r.k for r in view.remove(F.col("v") == 2)] == [k for k in range(10) if k != 3]
+    assert view.contains(F.col("v") == 4) and not view.contains(F.col("v") == 3) and len(view.clear()) == 0
+    with pytest.raises(ValueError):
+        view.remove(F.col("v") == 99)
+    with pytest.raises(IndexError):
+        view.clear().pop()
+    assert view.memory_usage()["memory"] == 0 and view.memory_usage()["estimate"] > 0
+    assert view.load_to_memory().memory_usage()["memory"] > 0
+    held = view.spill_to_disk().memory_usage()
+    assert held["disk"] > 0 and held["memory"] == 0 and len(view.unpersist()) == 10
+
+
+def test_map_view_verbs(spark):
+    df = lambda rows: spark.createDataFrame(rows, "k string, n int, v int")
+    view = MapView(df([("a", 1, 10), ("a", 3, 11), ("b", 2, 20)]), "k", "n")
+    assert sorted(view) == ["a", "b"] and sorted(r.v for r in view.values().collect()) == [11, 20]
+    assert view["a"].v == 11 and view.get("z") is None
+    with pytest.raises(KeyError):
+        view["z"]
+    assert view.stats() == {"records": 3, "keys": 2, "superseded": 1, "hits": 1, "misses": 2, "hit_rate": 1 / 3}
+    row, rest = view.pop("a")
+    assert row.v == 11 and list(rest) == ["b"] and view.pop("z", 5)[0] == 5
+    with pytest.raises(KeyError):
+        view.pop("z")
+    row, rest = view.popitem()
+    assert row.k == "a" and list(rest) == ["b"]
+    assert view.update(df([("b", 9, 21)]))["b"].v == 21
+    more = view.setdefault(df([("b", 9, 99), ("c", 9, 30)]))
+    assert more["b"].v == 20 and more["c"].v == 30 and len(view.clear()) == 0
+    with pytest.raises(KeyError):
+        view.clear().popitem()
+
+
+def test_metrics_of_the_plan_that_ran(spark, tmp_path):
+    spark.range(5000).withColumn("g", F.col("id") % 7).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t").groupBy("g").agg(F.sum("id").alias("s"))
+    _, report = QueryProfiler().profile(df, "sums")
+    by = {o.name.split(" ")[0]: o for o in report.operators}
+    assert report.rows == 7 and report.exchanges == 1 and report.scans == 1 and report.total("shuffleBytesWritten") > 0
+    assert by["Scan"].metrics["numOutputRows"] == 5000 and any(o.partition_bytes for o in report.operators) and report.hotspots()
+    assert "sums" in report.summary() and '"operators"' in report.to_json()
+    count, by_action = QueryProfiler().profile(df, action=lambda d: d.count())
+    assert count == 7 and by_action.operators == []
+    found = bottlenecks([OperatorMetrics("Sort", {"spillSize": 5 << 20}), OperatorMetrics("Exchange", {"shuffleBytesWritten": 9 << 20}, [1 << 10, 1 << 10, 8 << 20]), OperatorMetrics("Scan", {"filesSize": 1 << 20})])
+    assert len(found) == 3 and "spilled" in found[0] and "median" in found[1] and "shuffled" in found[2]
+
+    @profiled
+    def frame():
+        return spark.range(10)
+
+    assert frame()[1].rows == 10
+    assert profile_time(lambda: 5)()[0] == 5 and profile_time(lambda: 5)()[1] >= 0
+    assert profile_memory(spark)(lambda: 6)()[0] == 6
+    with ProfileContext(spark, "block") as block:
+        spark.range(10).count()
+    assert block.seconds > 0 and block.heap_after > 0 and "block" in block.summary()
+    sizes = spark.createDataFrame([(0, 1 << 10), (1, 1 << 20), (2, 1 << 10), (3, 1 << 11), (4, 1 << 40)], "at int, n bigint")
+    assert {(r.before, r.after, r.n) for r in transitions(sizes, "at", "n").collect()} == {("L1", "L3", 1), ("L3", "L1", 1), ("L1", "disk", 1)}
+
+
+def test_waiting_for_memory_and_executors(spark):
+    monitor = memory.MemoryMonitor(spark)
+    assert monitor.wait_for_memory(1, timeout=1) and not monitor.wait_for_memory(1 << 60, timeout=0.2, pause=0.05)
+    assert memory.force_gc(spark) >= 0
+    assert all(info.total > 0 and 0 <= info.percent <= 100 for info in memory.sample_executors(spark).values()) and set(monitor.executor_pressure().values()) == {"none"}
+
+
+def test_handlers(spark, caplog):
+    info = lambda at, percent: memory.MemoryInfo(at, percent, 100)
+    log = memory.LoggingHandler(quiet=60)
+    with caplog.at_level("WARNING"):
+        for at, level in ((0, "high"), (30, "high"), (30, "low"), (61, "high")):
+            log(level, info(at, 90))
+    assert len(caplog.records) == 3
+    told = []
+    throttle = memory.ThrottlingHandler()
+    throttle.callbacks.append(told.append)
+    for level in ("low", "medium", "high", "critical"):
+        throttle(level, info(0, 90))
+    assert told == [0.0, 0.1, 0.5, 2.0]
+    memory.GarbageCollectionHandler(spark)("critical", info(0, 96))
+    memory.GarbageCollectionHandler(spark)("low", info(0, 55))
+    spill = memory.SpillHandler()
+    df = spill.register(spark.range(10).persist())
+    spill("low", info(0, 55))
+    assert df.storageLevel.useMemory
+    spill("high", info(0, 90))
+    assert df.storageLevel == StorageLevel.DISK_ONLY and df.count() == 10
+    df.unpersist()
+
+
+def test_generators_and_methods_resume(spark, tmp_path):
+    manager = CheckpointManager(spark, f"file://{tmp_path}/c")
+    every = CheckpointPolicy(strategy="memory_pressure", pressed=lambda: True)
+    assert "start it anew" in recovery_text(manager, "count")
+
+    @auto_checkpoint(manager, "count", every)
+    def count(n, resume=None):
+        first = resume[1]["i"] + 1 if resume else 0
+        for i in range(first, n):
+            yield {"i": i}
+
+    run = count(5)
+    assert [next(run)["i"] for _ in range(3)] == [0, 1, 2]
+    run.close()  # as if the process had gone
+    assert "restore('count')" in recovery_text(manager, "count") and "iteration 3" in recovery_text(manager, "count")
+    assert [s["i"] for s in count(5)] == [3, 4]
+    assert manager.list("count") == []
+
+    class Sum:
+        job = "sums"
+
+        def __init__(self):
+            self.checkpoints, self.total = manager, 0
+
+        @checkpoint_method(["total"], policy=every)
+        def add(self, x):
+            self.total += x
+            return self.total
+
+    one = Sum()
+    assert [one.add(x) for x in (1, 2, 3)] == [1, 3, 6]
+    other = Sum()
+    assert restore_attributes(other, manager) == 3 and other.add(4) == 10
+    assert restore_attributes(Sum(), CheckpointManager(spark, f"file://{tmp_path}/none")) == 0
+
+
+def test_layers_from_shapes(spark):
+    shapes = spark.createDataFrame([(0, "c", "Conv2d", 3, 16, 3), (1, "l", "Linear", 100, 10, None), (2, "n", "BatchNorm", 32, None, None), (3, "r", "ReLU", None, None, None)], "idx bigint, name string, type string, inputs int, outputs int, kernel int")
+    got = {r.name: (r.params, r.activation_bytes) for r in planner.shaped_layers(shapes).collect()}
+    assert got == {"c": (3 * 16 * 9 + 16, 16 * 10_000 * 4), "l": (1010, 40), "n": (32, 128), "r": (0, 0)}
+    assert [r.name for r in planner.bottlenecks(planner.shaped_layers(shapes)).collect()] == ["c"]
+
+
+def test_rows_and_batches_through_python(spark, tmp_path):
+    frame = Frame(spark.range(10).toDF("k").repartition(2), ["k"])
+    folder = str(tmp_path)
+
+    def touch(rows):
+        for r in rows:
+            open(f"{folder}/{r.k}", "w").close()
+
+    frame.foreach_partition(touch)
+    assert len(list(tmp_path.iterdir())) == 10
+
+    def double(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"k": pa.array([2 * x for x in batch.column(0).to_pylist()], pa.int64())})
+
+    assert [r.k for r in frame.map_batches(double, "k bigint").collect()] == list(range(0, 20, 2))
+    assert [r.j for r in frame.transform(lambda d: d.withColumn("j", F.col("k") + 1)).collect()] == list(range(1, 11))
