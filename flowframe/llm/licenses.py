@@ -12,6 +12,7 @@ template holds are left out of blocks: they match nothing.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -70,7 +71,7 @@ def words(text: Column) -> Column:
 
 def vocabulary_counts(docs: DataFrame, vocabulary: list[str], text_col: str) -> dict[str, int]:
     """In how many rows of docs each word of the vocabulary occurs (all rows are read)."""
-    known = F.array(*map(F.lit, vocabulary))
+    known = _literal(vocabulary, "array<string>")
     held = docs.select(F.explode(F.array_intersect(known, words(F.coalesce(F.col(text_col), F.lit(""))))).alias("word"))
     return {r.word: r["count"] for r in held.groupBy("word").count().collect()}  # no more rows than the vocabulary
 
@@ -135,6 +136,11 @@ def _all(tests: list[Column]) -> Column:
     return out
 
 
+def _literal(value, kind: str) -> Column:
+    """A constant of the plan; one call whatever its size."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 class _Index:
     """Templates as literals of the plan: words in global order, each template's words, and inverted lists of prefix words.
 
@@ -145,18 +151,14 @@ class _Index:
     def __init__(self, ready: list, counts: dict[str, int]):
         self.labels, self.own, self.need, _ = zip(*ready)
         order = sorted({w for own in self.own for w in own}, key=lambda w: (counts.get(w, 0), w))
-        self.words = F.array(*map(F.lit, order))
         lists: dict[str, list] = {}
         for t, (_, own, need, prefix) in enumerate(ready):
             for i, word in enumerate(own[:prefix]):
                 # how many of the template's words can still match from this one on
-                lists.setdefault(word, []).append((t, len(own) - i, need, len(own)))
-        entry = lambda x: F.struct(*(F.lit(v).alias(n) for n, v in zip(("t", "left", "need", "size"), x)))
-        self.prefix = sorted(lists)
-        self.lists = F.create_map(*(c for word in self.prefix for c in (F.lit(word), F.array(*map(entry, lists[word])))))
-        self.prefix = F.array(*map(F.lit, self.prefix))
-        self.templates = F.array(*(F.array(*map(F.lit, own)) for own in self.own))
-        self.names = F.array(*map(F.lit, self.labels))
+                lists.setdefault(word, []).append({"t": t, "left": len(own) - i, "need": need, "size": len(own)})
+        self.words, self.prefix, self.names = (_literal(x, "array<string>") for x in (order, sorted(lists), list(self.labels)))
+        self.lists = _literal(lists, "map<string,array<struct<t:int,left:int,need:int,size:int>>>")
+        self.templates = _literal([list(own) for own in self.own], "array<array<string>>")
 
     def held(self, w: Column) -> Column:
         """The template words among w, in global order."""
