@@ -1,4 +1,4 @@
-"""Streams: event-time windows, sessions, first-of-key, count windows, resumable runs over new files."""
+"""Streams: event-time windows, sessions, first-of-key, count windows, drop-while, latest values, resumable runs over new files."""
 
 from __future__ import annotations
 
@@ -37,11 +37,17 @@ def first_of_key(stream: DataFrame, keys: list[str], column: str, late: str) ->
     return event_time(stream, column, late).dropDuplicatesWithinWatermark(keys)
 
 
-def count_windows(stream: DataFrame, key: str, value: str, size: int) -> DataFrame:
-    """(key, n_window, total): sums over each key's consecutive ``size`` values, as they arrive; state holds the rest."""
+def count_windows(stream: DataFrame, key: str, value: str, size: int, idle_ms: int | None = None) -> DataFrame:
+    """(key, n_window, total): sums over each key's consecutive ``size`` values, as they arrive; state holds the rest.
+
+    With ``idle_ms`` a key that brings nothing for so long is forgotten, with the rest it holds.
+    """
     kind = stream.schema[key].dataType.simpleString()
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         done, held = state.get if state.exists else (0, [])
         held = list(held)
         out = []
@@ -50,10 +56,67 @@ def count_windows(stream: DataFrame, key: str, value: str, size: int) -> DataFra
             while len(held) >= size:
                 out.append((group[0], done, sum(held[:size])))
                 held, done = held[size:], done + 1
-        state.update((done, held))
+        _keep(state, (done, held), idle_ms)
         yield pd.DataFrame(out, columns=["key", "n_window", "total"])
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"key {kind}, n_window bigint, total double", "done bigint, held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, f"key {kind}, n_window bigint, total double", "done bigint, held array<double>", "append", _timeout(idle_ms))
+
+
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def _keep(state: GroupState, value: tuple, idle_ms: int | None) -> None:
+    state.update(value)
+    if idle_ms is not None:
+        state.setTimeoutDuration(idle_ms)
+
+
+def drop_while(stream: DataFrame, key: str, order: str, predicate: Column) -> DataFrame:
+    """Each key's rows from the first one on where the predicate is false or null, over all that has arrived.
+
+    Rows of a key that arrive together are taken in the order of ``order``; a key's state is one flag.
+    """
+    names, flag = stream.columns, "drop_while_holds"
+    rows = stream.withColumn(flag, F.coalesce(predicate, F.lit(False)))
+
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        begun = bool(state.get[0]) if state.exists else False
+        frame = pd.concat(list(frames)).sort_values(order, kind="stable")
+        if not begun:
+            at = (~frame[flag].astype(bool)).to_numpy()
+            begun = bool(at.any())
+            frame = frame.iloc[at.argmax():] if begun else frame.iloc[:0]
+        state.update((begun,))
+        yield frame[names]
+
+    return rows.groupBy(key).applyInPandasWithState(step, stream.schema, "begun boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def latest_by_key(stream: DataFrame, key: str, version: str, value: str, idle_ms: int | None = None) -> DataFrame:
+    """(key, version, value, live) whenever a key's latest value changes; output mode update.
+
+    State holds the value of the largest version. With ``idle_ms`` a key that brings nothing for so
+    long is evicted: it comes once more with ``live`` false and is forgotten.
+    """
+    kinds = [stream.schema[c].dataType.simpleString() for c in (key, version, value)]
+    names = ["key", "version", "value", "live"]
+
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            gone = state.get
+            state.remove()
+            yield pd.DataFrame([(group[0], *gone, False)], columns=names)
+            return
+        rows = pd.concat(list(frames))
+        best = rows.loc[rows[version].idxmax()]
+        held = state.get if state.exists else None
+        if held is None or best[version] > held[0]:
+            held = (best[version].item() if hasattr(best[version], "item") else best[version], best[value].item() if hasattr(best[value], "item") else best[value])
+            yield pd.DataFrame([(group[0], *held, True)], columns=names)
+        _keep(state, held, idle_ms)
+
+    return stream.groupBy(key).applyInPandasWithState(step, f"key {kinds[0]}, version {kinds[1]}, value {kinds[2]}, live boolean", f"version {kinds[1]}, value {kinds[2]}", "update", _timeout(idle_ms))
 
 
 def run_available(stream: DataFrame, target: str, checkpoint: str, files: str = "parquet") -> None:

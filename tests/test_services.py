@@ -1,4 +1,5 @@
 import json
+import time
 
 import pyarrow as pa
 import pytest
@@ -317,3 +318,53 @@ def test_rows_and_batches_through_python(spark, tmp_path):
 
     assert [r.k for r in frame.map_batches(double, "k bigint").collect()] == list(range(0, 20, 2))
     assert [r.j for r in frame.transform(lambda d: d.withColumn("j", F.col("k") + 1)).collect()] == list(range(1, 11))
+
+
+def feed(spark, path, rows):
+    spark.createDataFrame(rows, "k string, n bigint, v bigint").coalesce(1).write.mode("append").parquet(path)
+
+
+def test_drop_while_on_a_stream(spark, tmp_path):
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for rows, want in (([("a", 1, 1), ("a", 2, 2), ("b", 1, 9)], [("b", 1, 9)]), ([("a", 4, 1), ("a", 3, 7), ("b", 2, 1), ("c", 1, None)], [("a", 3, 7), ("a", 4, 1), ("b", 1, 9), ("b", 2, 1), ("c", 1, None)])):
+        feed(spark, source, rows)
+        stream = spark.readStream.schema("k string, n bigint, v bigint").parquet(source)
+        jobs.run_available(jobs.drop_while(stream, "k", "n", F.col("v") < 5), out, f"{tmp_path}/cp")
+        assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == want
+
+
+def within(seconds, test):
+    """Whether the test comes true in time; batches of streams that wait for timeouts never end."""
+    end = time.monotonic() + seconds
+    while not (done := test()) and time.monotonic() < end:
+        time.sleep(0.3)
+    return done
+
+
+def test_latest_values_and_eviction_on_a_stream(spark, tmp_path):
+    source = f"{tmp_path}/in"
+    feed(spark, source, [("a", 2, 20), ("a", 1, 10), ("b", 1, 5)])
+    stream = spark.readStream.schema("k string, n bigint, v bigint").parquet(source)
+    query = jobs.latest_by_key(stream, "k", "n", "v", idle_ms=8000).writeStream.outputMode("update").format("memory").queryName("latest").trigger(processingTime="200 milliseconds").start()
+    told = lambda live: sorted(tuple(r)[:3] for r in spark.table("latest").where(F.col("live") == live).collect())
+    try:
+        assert within(30, lambda: told(True) == [("a", 2, 20), ("b", 1, 5)])
+        feed(spark, source, [("a", 1, 99), ("b", 3, 6)])
+        assert within(30, lambda: told(True) == [("a", 2, 20), ("b", 1, 5), ("b", 3, 6)])
+        assert within(40, lambda: told(False) == [("a", 2, 20), ("b", 3, 6)])
+    finally:
+        query.stop()
+
+
+def test_idle_count_windows_are_forgotten(spark, tmp_path):
+    source = f"{tmp_path}/in"
+    feed(spark, source, [("a", 1, 1), ("a", 2, 2)])
+    stream = spark.readStream.schema("k string, n bigint, v bigint").parquet(source)
+    query = jobs.count_windows(stream, "k", "v", 3, idle_ms=300).writeStream.outputMode("append").format("memory").queryName("idle").trigger(processingTime="100 milliseconds").start()
+    try:
+        held = lambda: (query.lastProgress or {}).get("stateOperators", [{}])[0]
+        assert within(30, lambda: held().get("numRowsTotal") == 1) and within(30, lambda: held().get("numRowsTotal") == 0)
+        feed(spark, source, [("a", 3, 3), ("a", 4, 4), ("a", 5, 5)])
+        assert within(30, lambda: [tuple(r) for r in spark.table("idle").collect()] == [("a", 0, 12.0)])
+    finally:
+        query.stop()
