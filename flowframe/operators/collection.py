@@ -216,11 +216,14 @@ class MapView:
     def items(self) -> DataFrame:
         return self.df
 
-    def stats(self) -> dict[str, float]:
-        """Records and keys, and how many lookups of this view found theirs."""
+    def stats(self) -> dict[str, int]:
         n, live = self.log.agg(F.count(F.lit(1)), F.count_distinct(self.key)).first()
+        return {"records": n, "keys": live, "superseded": n - live}
+
+    def lookups(self) -> dict[str, float]:
+        """How many of this view's lookups found their key."""
         asked = self.hits + self.misses
-        return {"records": n, "keys": live, "superseded": n - live, "hits": self.hits, "misses": self.misses, "hit_rate": self.hits / asked if asked else 0.0}
+        return {"hits": self.hits, "misses": self.misses, "hit_rate": self.hits / asked if asked else 0.0}
 
     def compact(self) -> DataFrame:
         """The live records alone; write them to replace the log."""
