@@ -36,6 +36,8 @@ BLOCK_ROWS = 8
 #: Rows that one bucket of a source has on average when documents are numbered.
 BUCKET_ROWS = 20_000
 LEAST_BUCKETS = 256
+#: Rows of a run of slots that one task orders.
+RUN_ROWS = 10_000
 
 
 def quantised(weights: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
@@ -215,3 +217,20 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "so
         plan = plan_table(docs.sparkSession, names, owner, block, columns)
         rows = rows.join(plan, same & (F.col("block_no") == F.col(p_block)), "left")
     return rows.select(*docs.columns, "block_no", slot.alias("slot"), F.col("within"), F.coalesce(slot < end, F.lit(False)).alias("in_balance"))
+
+
+def in_order(mixed: DataFrame, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", rows: int | None = None) -> DataFrame:
+    """The rows of mix() in the order of their places: those of one partition before those of the next.
+
+    ``rows`` is their number where it is known, as that of what was mixed; else they are counted. Slots are dealt to partitions in runs of equal length, so there is no pass to find their bounds.
+    Rows without a slot come last, dealt over as many partitions again.
+    """
+    part = column_name(mixed, "run")
+    rows = mixed.count() if rows is None else rows
+    runs = max(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RUN_ROWS))
+    # an estimate is enough: later slots share the last run
+    slots = max(1, -(-rows // block_rows))
+    own = F.least(F.lit(runs - 1), F.floor(F.col("slot") * runs / slots))
+    rest = runs + F.pmod(F.xxhash64(id_col), F.lit(runs))
+    dealt = mixed.withColumn(part, F.coalesce(own, rest).cast("int")).repartitionById(2 * runs, F.col(part))
+    return dealt.sortWithinPartitions(part, F.col("slot").asc_nulls_last(), "within", id_col).drop(part)

@@ -110,6 +110,20 @@ def test_default_weights_and_empty_input(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+def test_rows_in_order(spark, monkeypatch, tmp_path):
+    """Partition by partition, with sources that have no weight, more rows than a run and an empty table."""
+    monkeypatch.setattr(mixing, "RUN_ROWS", 40)
+    docs = mixture(spark)
+    for weights in (None, spark.createDataFrame([("a", 1.0), ("b", 5.0)], "source string, weight double")):
+        mixed = mixing.mix(docs, weights, block_rows=4)
+        out = mixing.in_order(mixed, 4)
+        assert out.columns == mixed.columns and Counter(out.collect()) == Counter(mixed.collect())
+        place = lambda r: (r.slot is None, r.slot or 0, r.within if r.slot is not None else 0)
+        rows = [place(r) for r in out.collect()]
+        assert rows == sorted(rows) and out.rdd.getNumPartitions() > 13
+    assert mixing.in_order(mixing.mix(docs.limit(0))).collect() == []
+
+
 def test_numbers_are_dense_in_each_source(spark):
     rows = mixing.numbered(mixture(spark).withColumn("s", F.col("source")), "s", "doc_id", "n").collect()
     by = {}
