@@ -80,7 +80,7 @@ class Block:
         unseen, bound = self._ones(exactly), impact[:, 0].astype(exactly)
         bound[query == 0] = 0
         least = int((query * np.where(query > 0, self.low, self.high)).sum())
-        stride, floor = max(1, int(len(turns) * STRIDE)), None
+        stride, floor = max(1, int(len(turns) * STRIDE)), -1 << 63
         self.offered += len(turns)
         few = max(k, SEEDS, int(len(rows) * MOST_RESCORED))
         taken = 0
@@ -98,9 +98,8 @@ class Block:
             known = score[possible]
             seeds = possible[np.argpartition(known, len(known) - SEEDS)[len(known) - SEEDS:]] if len(known) > SEEDS else possible
             if len(seeds) >= k:
-                exact = np.sort(rows[seeds] @ query)
-                floor = max(int(exact[len(exact) - k]), floor if floor is not None else int(exact[len(exact) - k]))
-                possible = possible[least + known + (bound[used] @ unseen[np.ix_(used, possible)] if len(possible) < len(rows) // 2 else (bound @ unseen)[possible]) >= floor]
+                floor = max(floor, int(np.sort(rows[seeds] @ query)[-k]))
+                possible = possible[least + known + (bound @ unseen)[possible] >= floor]
         self.taken += taken
         exact = rows[possible] @ query
         best = np.lexsort((self.ids[possible], -exact))[:k]
