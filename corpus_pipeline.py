@@ -36,8 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The order is that of the written files by name and of the rows in them; a reader that needs
     it reads them so (a scan is free to deal files to tasks in another order).
     """
-    mixed = mixing.mix(docs)
-    return mixed.orderBy(F.col("slot").asc_nulls_last(), "within", "doc_id").select(*docs.columns)
+    return mixing.in_order(mixing.mix(docs), rows=docs.count()).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
