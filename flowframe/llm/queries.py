@@ -12,10 +12,10 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one that its files deal to fewer tasks than there are cores is dealt anew, as a row group cannot be split."""
+    """A table; one that its files deal to half as many tasks as there are cores or fewer is dealt anew, as a row group cannot be split."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    return rows if 2 * rows.rdd.getNumPartitions() > cores else rows.repartition(cores)
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

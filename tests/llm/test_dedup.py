@@ -1,12 +1,13 @@
 import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowframe.llm import embedding_dedup, lines, minhash
-from flowframe.llm.common import connected_components
+from flowframe.llm.common import connected_components, scratch_dir
 
 from . import plain
 
@@ -73,6 +74,21 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
 
 
+class Session:
+    """As much of a session as scratch_dir asks."""
+
+    def __init__(self, master, named=None, given=None):
+        self.conf, self.sparkContext = SimpleNamespace(get=lambda key, default: named or default), SimpleNamespace(master=master, getCheckpointDir=lambda: given)
+
+
+def test_scratch_tables_go_to_the_shared_folder():
+    assert scratch_dir(Session("spark://m:7077", "hdfs://x/shared/")) == "hdfs://x/shared"
+    assert scratch_dir(Session("yarn", None, "s3a://b/c")) == "s3a://b/c"
+    assert scratch_dir(Session("local[2]")).startswith("file://")
+    with pytest.raises(RuntimeError):
+        scratch_dir(Session("yarn"))
+
+
 def embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 16))
