@@ -14,6 +14,7 @@ from flowframe.llm import lines, minhash, mixing, quality
 from flowframe.llm.common import discard, materialize
 from flowframe.llm.queries import tokens
 
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from flowframe.frame import Frame
 from flowframe.functions import policy, vectors
-from flowframe.operators import grouping, joins, positional
+from flowframe.operators import grouping, joins
 from flowframe.operators.batch import BatchProcessor
 from flowframe.operators.collection import ArrayView, MapView
 from flowframe.operators.ordering import with_index
