@@ -32,7 +32,7 @@ def chunk(df: DataFrame, order: list[str], size: int = 1000, *aggregates: Column
 
 
 #: Windows that begin in so many positions are made in one place.
-WINDOW_RANGE = 65_536
+WINDOW_RANGE = 8192
 
 
 def window(df: DataFrame, order: list[str], size: int, slide: int = 1, *aggregates: Column) -> DataFrame:
