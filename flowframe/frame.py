@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from flowframe.functions import policy
 from flowframe.operators import grouping, joins, positional
-from flowframe.operators.ordering import with_index
+from flowframe.operators.ordering import neighbour, with_index
 from flowframe.sources import sinks
 
 Expression = Column | str
@@ -134,19 +134,28 @@ class Frame:
 
     # windows over keys
 
-    def ranked(self, *by: Column, keys: list[str] | None = None, kind: str = "row_number", name: str = "rank", tiles: int = 4) -> Frame:
-        """Adds the row's row_number, rank, dense_rank, percent_rank or ntile among those of its keys."""
+    def ranked(self, keys: list[str], *by: Column, kind: str = "row_number", name: str = "rank", tiles: int = 4) -> Frame:
+        """Adds the row's row_number, rank, dense_rank, percent_rank or ntile among those of its keys.
+
+        The keys part the rows over tasks; ``index`` numbers a whole frame.
+        """
         function = F.ntile(tiles) if kind == "ntile" else getattr(F, kind)()
-        return self._with(self.df.withColumn(name, function.over(Window.partitionBy(*(keys or [])).orderBy(*by))))
+        return self._with(self.df.withColumn(name, function.over(Window.partitionBy(*keys).orderBy(*by))))
 
     def shifted(self, column: str, offset: int = 1, keys: list[str] | None = None, name: str | None = None) -> Frame:
-        """Adds the column's value ``offset`` rows before (after, if negative) in the frame's order, by keys."""
-        over = Window.partitionBy(*(keys or [])).orderBy(*self.order)
-        return self._with(self.df.withColumn(name or f"{column}_shifted", F.lag(column, offset).over(over) if offset >= 0 else F.lead(column, -offset).over(over)))
+        """Adds the column's value ``offset`` rows before (after, if negative) in the frame's order, by keys.
 
-    def moving(self, aggregate: Column, before: int, after: int = 0, keys: list[str] | None = None, name: str = "moving") -> Frame:
-        """Adds an aggregate over the rows from ``before`` ones back to ``after`` ones ahead, by keys."""
-        return self._with(self.df.withColumn(name, aggregate.over(Window.partitionBy(*(keys or [])).orderBy(*self.order).rowsBetween(-before, after))))
+        Without keys positions are joined, so that no one task sees all rows.
+        """
+        name = name or f"{column}_shifted"
+        if not keys:
+            return self._with(neighbour(self.df, self.order, column, offset, name))
+        over = Window.partitionBy(*keys).orderBy(*self.order)
+        return self._with(self.df.withColumn(name, F.lag(column, offset).over(over) if offset >= 0 else F.lead(column, -offset).over(over)))
+
+    def moving(self, keys: list[str], aggregate: Column, before: int, after: int = 0, name: str = "moving") -> Frame:
+        """Adds an aggregate over the rows from ``before`` ones back to ``after`` ones ahead, by keys; ``window`` takes a whole frame."""
+        return self._with(self.df.withColumn(name, aggregate.over(Window.partitionBy(*keys).orderBy(*self.order).rowsBetween(-before, after))))
 
     def join(self, other: Frame, on, how: str = "inner") -> Frame:
         return self._with(joins.external_join(self.df, other.df, on, how))

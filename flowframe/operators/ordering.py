@@ -43,6 +43,14 @@ def with_index(df: DataFrame, order: list[str], name: str = "idx", one_task_rows
     return placed.withColumn(name, F.col(name) + F.col(shift)).drop(bucket, of, shift)
 
 
+def neighbour(df: DataFrame, order: list[str], column: str, offset: int, name: str) -> DataFrame:
+    """Adds ``name``: the column's value ``offset`` positions before, null where there is none; by a join on positions."""
+    at, of, value = (free_name(df, c) for c in ("position", "position_of", "value_of"))
+    rows = with_index(df, order, at)
+    other = rows.select((F.col(at) + offset).alias(of), F.col(column).alias(value))
+    return rows.join(other, F.col(at) == F.col(of), "left").withColumn(name, F.col(value)).drop(at, of, value)
+
+
 def _in_ranges(df: DataFrame, order: list[str], n: int, buckets: int, bucket: str) -> DataFrame:
     """Adds ``bucket``: the number of the row's key range; larger keys have no smaller numbers."""
     at = F.struct(*order)

@@ -207,6 +207,18 @@ for _name in ("asof_event", "asof_event_bucketed"):
         SELECT v.event_id, (SELECT arg_max(b.value, {'t': b.ts, 'v': b.value}) FROM events b WHERE b.event_type = 'purchase' AND b.user_id = v.user_id AND b.ts <= v.ts) AS value_asof
         FROM events v WHERE v.event_type = 'view'"""
 
+ORACLE_SQL["hierarchy_transitions"] = """
+    WITH l AS (SELECT event_id, value * value * 1000 AS size FROM events), n AS (
+      SELECT event_id, CASE WHEN size <= 32768 THEN 'L1' WHEN size <= 262144 THEN 'L2' WHEN size <= 8388608 THEN 'L3' WHEN size <= 1073741824 THEN 'RAM' ELSE 'disk' END AS after FROM l
+    ), b AS (SELECT lag(after) OVER (ORDER BY event_id) AS before, after FROM n)
+    SELECT before, after, count(*) AS n FROM b WHERE before <> after GROUP BY before, after"""
+ORACLE_SQL["shifted_orders"] = """
+    WITH b AS (SELECT o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)) AS price, CAST(lag(o_totalprice) OVER (ORDER BY o_orderkey) AS DECIMAL(18,2)) AS before FROM orders)
+    SELECT o_orderstatus, count(*) AS n, CAST(sum(price - before) AS DOUBLE) AS change FROM b WHERE before IS NOT NULL GROUP BY o_orderstatus"""
+ORACLE_SQL["layer_shapes"] = """
+    WITH l AS (SELECT range AS idx, 'layer' || range AS name, ['Linear', 'Conv2d', 'ReLU'][range % 3 + 1] AS type, range * 31 % 64 + 1 AS i, range * 17 % 48 + 1 AS o FROM range(21)), p AS (
+      SELECT *, CASE type WHEN 'Linear' THEN i * o + o WHEN 'Conv2d' THEN i * o * 9 + o ELSE i END AS params FROM l)
+    SELECT idx, name, type, params, CASE type WHEN 'Linear' THEN o WHEN 'Conv2d' THEN o * 10000 ELSE params END * 4 AS activation_bytes FROM p"""
 #: The layers of queries.LAYERS by their rule.
 _LAYERS = """WITH layers AS (SELECT range AS idx, 'layer' || range AS name, ['Linear', 'Conv2d', 'ReLU'][range % 3 + 1] AS type,
     (range * 7919 % 500 + 1) * 1000 AS params, (range * 104729 % 900 + 1) * 4096 AS act FROM range(23)) """

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowframe.functions.policy import format_bytes, hierarchy_column
+from flowframe.operators.ordering import neighbour
 from flowframe.plans.memory import force_gc, sample
 
 
@@ -206,16 +207,19 @@ class ProfileContext:
 
 def transitions(sizes: DataFrame, order: str, size: str) -> DataFrame:
     """(before, after, n): how often the memory level that a size fits in changes from one row to the next."""
-    level = hierarchy_column(F.col(size))
-    steps = sizes.select(F.lag(level).over(Window.orderBy(order)).alias("before"), level.alias("after"))
+    levels = sizes.select(order, hierarchy_column(F.col(size)).alias("after"))
+    steps = neighbour(levels, [order], "after", 1, "before")
     return steps.where("before is not null and before <> after").groupBy("before", "after").agg(F.count(F.lit(1)).alias("n"))
 
 
 def access_pattern(df: DataFrame, order: str, address: str, by: list[str] | None = None) -> DataFrame:
     """sequential (steps of 1), strided (equal steps), random (others) or unknown (fewer than two), by key."""
     by = by or []
-    step = F.col(address) - F.lag(address).over(Window.partitionBy(*by).orderBy(order))
-    steps = df.select(*by, step.cast("double").alias("step"))
+    if by:
+        before = df.select(*by, address, F.lag(address).over(Window.partitionBy(*by).orderBy(order)).alias("before"))
+    else:
+        before = neighbour(df.select(*dict.fromkeys([order, address])), [order], address, 1, "before")
+    steps = before.select(*by, (F.col(address) - F.col("before")).cast("double").alias("step"))
     spread = F.stddev_pop("step")
     kind = F.when(F.count("step") < 1, "unknown").when((spread == 0) & (F.avg("step") == 1), "sequential").when(spread == 0, "strided").otherwise("random")
     return (steps.groupBy(*by) if by else steps).agg(kind.alias("pattern"))

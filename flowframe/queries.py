@@ -669,6 +669,26 @@ def layer_precision(spark, sf):
     return planner.half_precision(_layers(spark))
 
 
+SHAPES = [(i, f"layer{i}", ("Linear", "Conv2d", "ReLU")[i % 3], i * 31 % 64 + 1, i * 17 % 48 + 1 if i % 3 < 2 else None, 3 if i % 3 == 1 else None) for i in range(21)]
+
+
+@query
+def layer_shapes(spark, sf):
+    return planner.shaped_layers(spark.createDataFrame(SHAPES, "idx bigint, name string, type string, inputs int, outputs int, kernel int"))
+
+
+@query
+def hierarchy_transitions(spark, sf):
+    return profile.transitions(table(spark, sf, "events").select("event_id", (F.col("value") * F.col("value") * 1000).alias("size")), "event_id", "size")
+
+
+@query
+def shifted_orders(spark, sf):
+    """The price of the order before, over the whole table, and the changes by status."""
+    rows = frame(spark, sf, "orders").shifted("o_totalprice", 1, name="before").df
+    return rows.where("before is not null").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum(money("o_totalprice") - money("before")).cast("double").alias("change"))
+
+
 @query
 def training_memory_plan(spark, sf):
     return planner.training_plan(_layers(spark), 32, 1 << 30)

@@ -101,12 +101,15 @@ def test_large_csv_is_split_where_fields_hold_no_line_breaks(spark, tmp_path):
 
 def test_ranked_shifted_and_moving(rows):
     frame = Frame(rows, ["k"])
-    best = frame.ranked(F.desc("v"), F.col("k"), keys=["g"]).filter("rank = 1").collect()
+    best = frame.ranked(["g"], F.desc("v"), F.col("k")).filter("rank = 1").collect()
     assert {r.g: (r.v, r.k) for r in best} == {g: (v := max(r[2] for r in ROWS if r[1] == g), min(r[0] for r in ROWS if r[1] == g and r[2] == v)) for g in range(5)}
-    assert {r.rank for r in frame.ranked(F.col("k"), keys=["g"], kind="ntile", tiles=3).collect()} == {1, 2, 3}
+    assert {r.rank for r in frame.ranked(["g"], F.col("k"), kind="ntile", tiles=3).collect()} == {1, 2, 3}
     v = [r for r in sorted(ROWS) if r[1] == 2]
-    got = [r for r in frame.shifted("k", keys=["g"]).shifted("k", -1, ["g"], "next").moving(F.sum("v"), 1, 1, ["g"]).collect() if r.g == 2]
+    got = [r for r in frame.shifted("k", keys=["g"]).shifted("k", -1, ["g"], "next").moving(["g"], F.sum("v"), 1, 1).collect() if r.g == 2]
     assert [(r.k_shifted, r.next) for r in got] == list(zip([None, *(r[0] for r in v)], [*(r[0] for r in v[1:]), None]))
+    whole = sorted(ROWS)
+    assert {(r.k, r.k_shifted) for r in frame.shifted("k", 2).collect()} == {(r[0], whole[i - 2][0] if i > 1 else None) for i, r in enumerate(whole)}
+    assert {(r.k, r.next) for r in frame.shifted("k", -1, name="next").collect()} == {(r[0], whole[i + 1][0] if i + 1 < len(whole) else None) for i, r in enumerate(whole)}
     assert [r.moving for r in got] == [sum(x[2] for x in v[max(0, i - 1):i + 2]) for i in range(len(v))]
 
 
