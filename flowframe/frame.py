@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from flowframe.functions import policy
 from flowframe.operators import grouping, joins, positional
-from flowframe.operators.ordering import neighbour, with_index
+from flowframe.operators.ordering import Dense, free_name, neighbour, sort_order, sorted_index, with_index
 from flowframe.sources import sinks
 
 Expression = Column | str
@@ -26,11 +26,15 @@ def _column(x: Expression) -> Column:
 
 
 class Frame:
-    def __init__(self, df: DataFrame, order: list[str]):
-        self.df, self.order = df, list(order)
+    def __init__(self, df: DataFrame, order: list[str], helpers: list[str] | None = None):
+        self.df, self.order, self.helpers = df, order if isinstance(order, Dense) else list(order), list(helpers or [])
+
+    def placed(self) -> Frame:
+        """The same rows with an order of ascending columns, nulls first: what verbs of positions go by."""
+        return self
 
     def _with(self, df: DataFrame, order: list[str] | None = None) -> Frame:
-        return Frame(df, self.order if order is None else order)
+        return Frame(df, list(self.order) if order is None else order, self.helpers)
 
     @property
     def unordered(self) -> DataFrame:
@@ -52,10 +56,10 @@ class Frame:
 
     def flat_map(self, array: Expression, name: str = "value", position: str = "pos") -> Frame:
         """A row an element, in order; no row for empty arrays, one null element for null ones."""
-        items = _column(array)
-        kind = self.df.select(items.alias("x")).schema["x"].dataType.simpleString()
-        rows = self.df.select("*", F.posexplode(F.coalesce(items, F.array(F.lit(None)).cast(kind))).alias(position, name))
-        return self._with(rows, [*self.order, position])
+        items, at = _column(array), self.placed()
+        kind = at.df.select(items.alias("x")).schema["x"].dataType.simpleString()
+        rows = at.df.select("*", F.posexplode(F.coalesce(items, F.array(F.lit(None)).cast(kind))).alias(position, name))
+        return at._with(rows, [*at.order, position])
 
     def map_batches(self, fn: Callable, schema: str, order: list[str] | None = None) -> Frame:
         """Arrow batches through a Python function: for what columns cannot express."""
@@ -67,7 +71,8 @@ class Frame:
     # positions
 
     def index(self, name: str = "idx") -> Frame:
-        return self._with(with_index(self.df, self.order, name), [name])
+        at = self.placed()
+        return at._with(with_index(at.df, at.order, name), [name])
 
     def take(self, n: int) -> Frame:
         return self._with(positional.take(self.df, self.order, n))
@@ -80,33 +85,40 @@ class Frame:
         if size is None:
             strategy = self.df.sparkSession.conf.get(policy.CHUNK_STRATEGY, "fixed")
             size = policy.chunk_size(self.count() if strategy != "fixed" else 0, strategy, **policy.driver_memory(self.df.sparkSession))
-        return self._with(positional.chunk(self.df, self.order, size, *aggregates), ["chunk"])
+        at = self.placed()
+        return at._with(positional.chunk(at.df, at.order, size, *aggregates), ["chunk"])
 
     batch = chunk
 
     def window(self, size: int, slide: int = 1, *aggregates: Column) -> Frame:
-        return self._with(positional.window(self.df, self.order, size, slide, *aggregates), ["window"])
+        at = self.placed()
+        return at._with(positional.window(at.df, at.order, size, slide, *aggregates), ["window"])
 
     def take_while(self, predicate: Expression) -> Frame:
-        return self._with(positional.take_while(self.df, self.order, _column(predicate)))
+        at = self.placed()
+        return at._with(positional.take_while(at.df, at.order, _column(predicate)))
 
     def drop_while(self, predicate: Expression) -> Frame:
-        return self._with(positional.drop_while(self.df, self.order, _column(predicate)))
+        at = self.placed()
+        return at._with(positional.drop_while(at.df, at.order, _column(predicate)))
 
     # sorting, distinct, sets
 
     def sort(self, *keys: Expression, reverse: bool = False, nulls: str = "first") -> SortedFrame:
         """Stable: rows with equal keys keep their order, in either direction.
 
-        The keys become columns sort_key_0, sort_key_1, ...; ``rows`` gives the result without them.
+        The keys become columns sort_key_0, sort_key_1, ... (with other names where a frame has been
+        sorted before); ``rows`` gives the result without them.
         """
-        named = {f"sort_key_{k}": _column(key) for k, key in enumerate(keys)}
-        return SortedFrame(self.df.withColumns(named), list(named), self.order, reverse, nulls)
+        at = self.placed()
+        named = {free_name(at.df, f"sort_key_{k}"): _column(key) for k, key in enumerate(keys)}
+        return SortedFrame(at.df.withColumns(named), list(named), at.order, reverse, nulls, [*at.helpers, *named])
 
     def distinct(self, *keys: str) -> Frame:
         """The first row of each key; without keys, of each whole row apart from the order."""
-        keys = list(keys) or [c for c in self.df.columns if c not in self.order]
-        return self._with(grouping.first_by_key(self.df, keys, self.order))
+        at = self.placed()
+        keys = list(keys) or [c for c in self.df.columns if c not in self.order and c not in self.helpers]
+        return at._with(grouping.first_by_key(at.df, keys, at.order))
 
     def union(self, other: Frame) -> Frame:
         return self._with(self.df.unionByName(other.df, allowMissingColumns=True))
@@ -128,9 +140,10 @@ class Frame:
         Ranges of rows are folded one after the other; with ``combine``, which joins the folds of
         two neighbouring runs (and a neutral ``initial``), all at once.
         """
+        at = self.placed()
         if combine is not None:
-            return grouping.fold(self.df, [], self.order, _column(value), step, initial, combine=combine).first()[0]
-        return grouping.fold_in_order(self.df, self.order, _column(value), step, initial)
+            return grouping.fold(at.df, [], at.order, _column(value), step, initial, combine=combine).first()[0]
+        return grouping.fold_in_order(at.df, at.order, _column(value), step, initial)
 
     # windows over keys
 
@@ -147,15 +160,16 @@ class Frame:
 
         Without keys positions are joined, so that no one task sees all rows.
         """
-        name = name or f"{column}_shifted"
+        name, at = name or f"{column}_shifted", self.placed()
         if not keys:
-            return self._with(neighbour(self.df, self.order, column, offset, name))
-        over = Window.partitionBy(*keys).orderBy(*self.order)
-        return self._with(self.df.withColumn(name, F.lag(column, offset).over(over) if offset >= 0 else F.lead(column, -offset).over(over)))
+            return at._with(neighbour(at.df, at.order, column, offset, name))
+        over = Window.partitionBy(*keys).orderBy(*at.order)
+        return at._with(at.df.withColumn(name, F.lag(column, offset).over(over) if offset >= 0 else F.lead(column, -offset).over(over)))
 
     def moving(self, keys: list[str], aggregate: Column, before: int, after: int = 0, name: str = "moving") -> Frame:
         """Adds an aggregate over the rows from ``before`` ones back to ``after`` ones ahead, by keys; ``window`` takes a whole frame."""
-        return self._with(self.df.withColumn(name, aggregate.over(Window.partitionBy(*keys).orderBy(*self.order).rowsBetween(-before, after))))
+        at = self.placed()
+        return at._with(at.df.withColumn(name, aggregate.over(Window.partitionBy(*keys).orderBy(*at.order).rowsBetween(-before, after))))
 
     def join(self, other: Frame, on, how: str = "inner") -> Frame:
         return self._with(joins.external_join(self.df, other.df, on, how))
@@ -243,16 +257,22 @@ class FileFrame(Frame):
 class SortedFrame(Frame):
     """A frame ordered by keys in one direction, ties by the order it had before."""
 
-    def __init__(self, df: DataFrame, keys: list[str], ties: list[str], reverse: bool, nulls: str):
-        super().__init__(df, [*keys, *ties])
+    def __init__(self, df: DataFrame, keys: list[str], ties: list[str], reverse: bool, nulls: str, helpers: list[str]):
+        super().__init__(df, [*keys, *ties], helpers)
         self.sort_keys, self.ties, self.reverse, self.nulls = keys, ties, reverse, nulls
 
+    def placed(self) -> Frame:
+        """By a column sort_position, unless the keys ascend with nulls first."""
+        if not self.reverse and self.nulls == "first":
+            return self
+        name = free_name(self.df, "sort_position")
+        return Frame(sorted_index(self.df, self.sort_keys, self.ties, self.reverse, self.nulls, name), Dense([name]), [*self.helpers, name])
+
     def order_by(self) -> list[Column]:
-        name = f"{'desc' if self.reverse else 'asc'}_nulls_{self.nulls}"
-        return [*[getattr(F.col(k), name)() for k in self.sort_keys], *[F.col(t).asc_nulls_first() for t in self.ties]]
+        return sort_order(self.sort_keys, self.ties, self.reverse, self.nulls)
 
     def _with(self, df: DataFrame, order: list[str] | None = None) -> Frame:
-        return SortedFrame(df, self.sort_keys, self.ties, self.reverse, self.nulls) if order is None else Frame(df, order)
+        return SortedFrame(df, self.sort_keys, self.ties, self.reverse, self.nulls, self.helpers) if order is None else Frame(df, order, self.helpers)
 
     def _ordered(self) -> DataFrame:
         return self.df.orderBy(*self.order_by())
@@ -264,5 +284,5 @@ class SortedFrame(Frame):
         return self._with(self._ordered().offset(max(0, n)))
 
     def rows(self) -> DataFrame:
-        """The ordered rows without the sort keys."""
-        return self._ordered().drop(*self.sort_keys)
+        """The ordered rows without the columns that sorting added."""
+        return self._ordered().drop(*self.helpers)

@@ -127,14 +127,17 @@ class GroupedFrame:
     def collect_rows(self, name: str = "rows"):
         from flowframe.frame import Frame
 
-        return Frame(collect_groups(self.frame.df, self.keys, self.frame.order, name), self.keys)
+        at = self.frame.placed()
+        return Frame(collect_groups(at.df, self.keys, at.order, name), self.keys)
 
     def fold(self, value: Column, step: Callable[[Column, Column], Column], initial: Column | None = None, name: str = "value", combine: Callable[[Column, Column], Column] | None = None):
         from flowframe.frame import Frame
 
-        return Frame(fold(self.frame.df, self.keys, self.frame.order, value, step, initial, name, combine), self.keys)
+        at = self.frame.placed()
+        return Frame(fold(at.df, self.keys, at.order, value, step, initial, name, combine), self.keys)
 
     def top(self, k: int, *by: Column, rank: str = "rank"):
         from flowframe.frame import Frame
 
-        return Frame(best_of_group(self.frame.df, self.keys, [*by, *map(F.col, self.frame.order)], k, rank), [*self.keys, rank])
+        at = self.frame.placed()
+        return Frame(best_of_group(at.df, self.keys, [*by, *map(F.col, at.order)], k, rank), [*self.keys, rank])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,14 +22,21 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def with_index(df: DataFrame, order: list[str], name: str = "idx", one_task_rows: int = ONE_TASK_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+class Dense(list):
+    """An order of one column that holds dense positions from 0 already."""
+
+
+def with_index(df: DataFrame, order: list[str], name: str = "idx", one_task_rows: int = ONE_TASK_ROWS, bucket_rows: int = BUCKET_ROWS, n: int | None = None) -> DataFrame:
     """Adds ``name``: the row's position from 0 by the columns of ``order``, ascending, nulls first.
 
     The order key must be unique for a repeatable result. Large inputs are cut into key ranges; a
     row's position is its number in its range plus the rows of the ranges before. A range is a pure
-    function of the key, so evaluating the plan again gives the same positions.
+    function of the key, so evaluating the plan again gives the same positions. ``n`` is the number
+    of rows, where it is known. A Dense order costs nothing.
     """
-    n = df.count()
+    if isinstance(order, Dense):
+        return df.withColumn(name, F.col(order[0]))
+    n = df.count() if n is None else n
     key = [F.col(c).asc_nulls_first() for c in order]
     if n <= one_task_rows:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*key)).cast("bigint") - 1)
@@ -43,6 +50,36 @@ def with_index(df: DataFrame, order: list[str], name: str = "idx", one_task_rows
     return placed.withColumn(name, F.col(name) + F.col(shift)).drop(bucket, of, shift)
 
 
+def sort_order(keys: list[str], ties: list[str], reverse: bool, nulls: str) -> list[Column]:
+    """Keys in one direction, ties ascending."""
+    name = f"{'desc' if reverse else 'asc'}_nulls_{nulls}"
+    return [*[getattr(F.col(k), name)() for k in keys], *[F.col(t).asc_nulls_first() for t in ties]]
+
+
+def sorted_index(df: DataFrame, keys: list[str], ties: list[str], reverse: bool, nulls: str, name: str, one_task_rows: int = ONE_TASK_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Adds ``name``: the row's position by ``keys`` in one direction, ties by ``ties``, ascending in either case.
+
+    ``nulls`` ("first" or "last") is where nulls stand in the result. For a descending order each
+    run of equal keys keeps its inner order and is moved as a whole, by a join with one row a key.
+    """
+    n = df.count()
+    if n <= one_task_rows:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*sort_order(keys, ties, reverse, nulls))).cast("bigint") - 1)
+    late = (nulls == "last") != reverse
+    flags = {free_name(df, f"{k}_null"): F.col(k).isNull() if late else F.col(k).isNotNull() for k in keys}
+    order = [c for pair in zip(flags, keys) for c in pair]
+    rows = with_index(df.withColumns(flags), [*order, *ties], name, one_task_rows, bucket_rows, n).drop(*flags)
+    if not reverse:
+        return rows
+    of = [free_name(rows, f"{k}_of") for k in keys]
+    first, after = free_name(rows, "run_first"), free_name(rows, "run_after")
+    runs = rows.groupBy(*[F.col(k).alias(c) for k, c in zip(keys, of)]).agg(F.min(name).alias(first), (F.max(name) + 1).alias(after))
+    same = F.lit(True)
+    for k, c in zip(keys, of):
+        same = same & F.col(k).eqNullSafe(F.col(c))
+    return rows.join(runs, same).withColumn(name, F.lit(n) - F.col(after) + F.col(name) - F.col(first)).drop(*of, first, after)
+
+
 def neighbour(df: DataFrame, order: list[str], column: str, offset: int, name: str) -> DataFrame:
     """Adds ``name``: the column's value ``offset`` positions before, null where there is none; by a join on positions."""
     at, of, value = (free_name(df, c) for c in ("position", "position_of", "value_of"))

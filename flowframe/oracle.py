@@ -24,11 +24,14 @@ ORACLE_SQL: dict[str, str] = {
     "json_props_extract": """
         SELECT k, count(*) AS n FROM (SELECT json_extract_string(props, '$.k') AS k FROM events) WHERE k IS NOT NULL GROUP BY k""",
     "json_roundtrip": "SELECT n_nationkey, n_name FROM nation",
-    "sort_stable_asc": "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderpriority ASC NULLS FIRST, o_orderkey) AS INTEGER) AS rank FROM orders",
-    "sort_stable_desc": "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderpriority DESC NULLS LAST, o_orderkey) AS INTEGER) AS rank FROM orders",
-    "sort_composite_mixed": "SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_mktsegment ASC NULLS FIRST, c_acctbal DESC NULLS LAST, c_custkey) AS INTEGER) AS rank FROM customer",
+    "sort_stable_asc": "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderpriority ASC NULLS FIRST, o_orderkey) AS BIGINT) AS rank FROM orders",
+    "sort_stable_desc": "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderpriority DESC NULLS LAST, o_orderkey) AS BIGINT) AS rank FROM orders",
+    "sort_composite_mixed": "SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_mktsegment ASC NULLS FIRST, c_acctbal DESC NULLS LAST, c_custkey) AS BIGINT) AS rank FROM customer",
+    "sort_then_chunk": """
+        SELECT chunk, count(*) AS n, min(l_extendedprice) AS least, max(l_extendedprice) AS most, CAST(sum(l_linenumber) AS BIGINT) AS line_numbers FROM (
+          SELECT *, (row_number() OVER (ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber) - 1) // 5000 AS chunk FROM lineitem) GROUP BY chunk""",
     "sort_nulls_last": """
-        SELECT d.doc_id, CAST(row_number() OVER (ORDER BY quality ASC NULLS LAST, d.doc_id) AS INTEGER) AS rank
+        SELECT d.doc_id, CAST(row_number() OVER (ORDER BY quality ASC NULLS LAST, d.doc_id) AS BIGINT) AS rank
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "topk_search": "SELECT p_partkey, p_name, p_retailprice FROM part WHERE contains(p_name, 'e') ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 20",
     "topk_per_group": """

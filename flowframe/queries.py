@@ -122,8 +122,8 @@ def json_roundtrip(spark, sf):
 # sorting and top-k
 
 def _ranked(sorted_frame, *columns: str) -> DataFrame:
-    rank = F.row_number().over(Window.orderBy(*sorted_frame.order_by()))
-    return sorted_frame.df.select(*columns, rank.alias("rank"))
+    """Ranks from 1 by ranges of keys: no one task sees all rows."""
+    return sorted_frame.index().df.select(*columns, (F.col("idx") + 1).alias("rank"))
 
 
 @query
@@ -138,7 +138,14 @@ def sort_stable_desc(spark, sf):
 
 @query
 def sort_composite_mixed(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", F.row_number().over(Window.orderBy(F.asc("c_mktsegment"), F.desc("c_acctbal"), F.asc("c_custkey"))).alias("rank"))
+    return _ranked(frame(spark, sf, "customer").sort("c_acctbal", reverse=True, nulls="last").sort("c_mktsegment"), "c_custkey")
+
+
+@query
+def sort_then_chunk(spark, sf):
+    """Chunks of a descending order, nulls last: the verbs of positions go by the sort."""
+    rows = frame(spark, sf, "lineitem").sort("l_extendedprice", reverse=True, nulls="last")
+    return rows.chunk(5000, F.count(F.lit(1)).alias("n"), F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most"), F.sum("l_linenumber").alias("line_numbers")).df
 
 
 @query
